@@ -12,6 +12,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html import extract_main_text
+
+    return extract_main_text(_table(spark, sf_dir, "pages"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import similar_sets
 
@@ -48,6 +54,12 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(_table(spark, sf_dir, "documents"))
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_sources
 
@@ -62,12 +74,14 @@ def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_embedding_dedup": op2_embedding_dedup,
     "op3_mix_sources": op3_mix_sources,
     "op4_pii": op4_pii,
     "op5_bpe": op5_bpe,
     "op6_shards": op6_shards,
     "op7_mpeg_audio": op7_mpeg_audio,
     "op8_quality": op8_quality,
+    "op9_main_text": op9_main_text,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
