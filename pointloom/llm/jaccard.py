@@ -1,13 +1,19 @@
-"""N-gram Jaccard join: count-vector R-trees over cells of documents that share a rare shingle.
+"""N-gram Jaccard join: count-vector R-trees over cells of documents that may link.
 
 A document is the set of its word shingles. Its shingles are hashed into GROUPS groups, and the group counts are a point.
 The sum over the groups of the smaller of two counts bounds the overlap of two documents from above, so a box of points
 whose upper corner, or a pair whose points, can't reach the overlap asked for are passed over without a look at the sets.
 
-One tree can't be dealt over machines without sending every query to every part. So a document is sent to the cells of
-its prefix: of n shingles in a fixed order, two documents that link share one of the first n - ceil(t n) + 1. The order
-is by how often a shingle occurs in all documents (counted in a table of fixed size), the rare ones first, so that a
-passage of many documents makes a cell only for documents that hold little else. The order may be any, the result is exact.
+One tree can't be dealt over machines without sending every query to every part. So documents go to cells first, such that
+two documents that link are sure to share one. There are two kinds; both are exact, and ``cells`` chooses:
+
+* ``groups``: a link leaves at most D shingles that only one side has, D from the smaller size. With more than D groups, some
+  group has the same shingles on both sides; a cell is a group and what it holds. The number of groups goes by classes of
+  sizes, and a document near the lower end of its class also takes that of the class below. Best for high thresholds, where a
+  group holds many shingles, so that hardly any but near copies meet.
+* ``prefix``: of n shingles in a fixed order, two documents that link share one of the first n - ceil(t n) + 1. The order is
+  by how often a shingle occurs in all documents (counted in a table of fixed size), the rare ones first. Fewer rows, and
+  selective only if a single shingle is; best for long shingles and lower thresholds.
 
 Only components are asked for, so in each cell all members are first compared with one of them (linear in the cell, however
 many near copies it holds). Cells whose members then are in more than one component get an R-tree, split into blocks of
@@ -25,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .scratch import Scratch
-from .shingles import WordHash, mix, shingle_set, signature
+from .shingles import mix, pieces, shingle_sets, signature
 
 GROUPS = 32
 BLOCK = 2048
@@ -81,17 +87,10 @@ def _sketch(width: int, bits: int):
     """How often the hashes of all shingles fall into each of 2^bits counters, as blocks of 2^14 counters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, total = WordHash(), np.zeros(1 << bits, np.int64)
-        held, size = [], 0
-        for batch in batches:
-            for text in batch.column(0):
-                held.append(shingle_set(text.as_py(), width, seen))
-                size += len(held[-1])
-                if size > 1 << 21:
-                    total += np.bincount((np.concatenate(held) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-                    held, size = [], 0
-        if held:
-            total += np.bincount((np.concatenate(held) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+        total = np.zeros(1 << bits, np.int64)
+        for batch in pieces(batches):
+            own = np.concatenate([np.empty(0, np.uint64), *shingle_sets(batch.column(0), width)])
+            total += np.bincount((own >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
         at = np.flatnonzero(total)
         if len(at):
             step = 1 << 14
@@ -120,15 +119,62 @@ def shingle_levels(docs: DataFrame, text: str, width: int, bits: int = SKETCH_BI
     return np.maximum(0, np.floor(np.log2(np.maximum(total, 1) / mean))).astype(np.uint8)
 
 
-def _features(width: int, num: int, den: int, levels, bits: int):
-    """(row's id, set size, signature, hashes of the prefix); a set met before in the same task has no prefix again."""
+class SizeClasses:
+    """Classes of set sizes and the number of groups in each, for links of num/den of the union."""
+
+    def __init__(self, num: int, den: int, ratio: float = 1.5):
+        self.num, self.den, self.ratio = num, den, ratio
+        self.low, self.spread, self.groups = [1], [], []
+
+    def _reach(self, n: int) -> None:
+        while self.low[-1] <= n:
+            low, above = self.low[-1], max(self.low[-1] + 1, int(self.low[-1] * self.ratio))
+            spread = (above - 1) * (self.den - self.num) // self.num
+            groups = spread + 1
+            # room for groups that are empty by chance, so that few documents need cells for these
+            for _ in range(30 if spread else 0):
+                empty = groups * np.exp(-low / groups)
+                if groups >= spread + 1 + empty + 4 * empty**0.5:
+                    break
+                groups += max(1, int(spread + 1 + empty + 4 * empty**0.5 - groups))
+            self.low.append(above)
+            self.spread.append(spread)
+            self.groups.append(groups)
+
+    def cells(self, shingles: np.ndarray) -> np.ndarray:
+        """Hashes of (class, group, what the group holds). Empty groups make a cell only for sets that have so many of them
+        that two such sets might have nothing else in common."""
+        n = len(shingles)
+        self._reach(n)
+        k = int(np.searchsorted(self.low, n, "right")) - 1
+        value, place, out = mix(shingles, 13), mix(shingles, 11), []
+        for i in (k, k - 1) if k and self.num * n <= self.den * (self.low[k] - 1) else (k,):
+            groups = self.groups[i]
+            at = (place % np.uint64(groups)).astype(np.int64)
+            held = np.zeros(groups, np.uint64)
+            np.add.at(held, at, value)
+            keys = mix(held ^ mix(np.arange(groups, dtype=np.uint64) + np.uint64(i << 32)))
+            full = np.bincount(at, minlength=groups) > 0
+            out.append(keys if groups - full.sum() >= groups - self.spread[i] else keys[full])
+        return np.concatenate(out)
+
+
+def prefix_cells(shingles: np.ndarray, num: int, den: int, level: np.ndarray) -> np.ndarray:
+    k = prefix_size(len(shingles), num, den)
+    bits = len(level).bit_length() - 1
+    order = level[(shingles >> np.uint64(64 - bits)).astype(np.int64)] | mix(shingles, 3) >> np.uint64(6)
+    return np.partition(order, k - 1)[:k] if k < len(order) else order
+
+
+def _features(width: int, num: int, den: int, levels):
+    """(row's id, set size, signature, cells); a set met before in the same task has no cells again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, known, level = WordHash(), set(), levels.value
-        for batch in batches:
+        known, classes = set(), SizeClasses(num, den)
+        level = levels.value.astype(np.uint64) << np.uint64(58) if levels else None
+        for batch in pieces(batches):
             n, sig, keys = [], [], []
-            for text in batch.column(1):
-                own = shingle_set(text.as_py(), width, seen)
+            for own in shingle_sets(batch.column(1), width):
                 n.append(len(own))
                 sig.append(signature(own) if len(own) else None)
                 if not len(own) or sig[-1] in known:
@@ -136,10 +182,7 @@ def _features(width: int, num: int, den: int, levels, bits: int):
                     continue
                 if len(known) < 1 << 18:
                     known.add(sig[-1])
-                k = prefix_size(len(own), num, den)
-                hashed = mix(own, 3)
-                rank = np.lexsort((hashed, level[(own >> np.uint64(64 - bits)).astype(np.int64)]))[:k] if k < len(own) else slice(None)
-                keys.append(hashed[rank].view(np.int64))
+                keys.append((classes.cells(own) if level is None else prefix_cells(own, num, den, level)).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["id", "n", "sig", "keys"])
 
     return run
@@ -147,11 +190,9 @@ def _features(width: int, num: int, den: int, levels, bits: int):
 
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = WordHash()
-        for batch in batches:
+        for batch in pieces(batches):
             sig, points, sets = [], [], []
-            for text in batch.column(0):
-                own = shingle_set(text.as_py(), width, seen)
+            for own in shingle_sets(batch.column(0), width):
                 sig.append(signature(own) if len(own) else None)
                 points.append(np.concatenate([[len(own)], count_vector(own)]).astype(np.int32).tobytes())
                 sets.append(own.tobytes())
@@ -183,7 +224,7 @@ def _verify(num: int, den: int):
     return run
 
 
-def _search(num: int, den: int):
+def _search(num: int, den: int, few: int | None):
     """Rows sorted by (cell, block), points of the tree first, then the searches: pairs that the bound lets pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,9 +244,14 @@ def _search(num: int, den: int):
                 if tree is None:
                     if not points:
                         continue
-                    tree, at_sig, at_comp = RTree(np.array(points, np.int64)), np.array(sigs), np.array(comps)
+                    at_point, at_sig, at_comp = np.array(points, np.int64), np.array(sigs), np.array(comps)
+                    tree = RTree(at_point)
                 found = tree.search(own.astype(np.int64), num, den)
-                found = at_sig[found[at_comp[found] != comp]]
+                found = found[at_comp[found] != comp]
+                if few and len(found) > few:
+                    apart = np.abs(at_point[found] - own).sum(axis=1)
+                    found = found[np.argpartition(apart, few)[:few]]
+                found = at_sig[found]
                 u += [sig] * len(found)
                 v += found.tolist()
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
@@ -213,7 +259,7 @@ def _search(num: int, den: int):
     return run
 
 
-def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, num: int = 90, den: int = 100, scratch: Scratch | None = None) -> DataFrame:
+def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, num: int = 90, den: int = 100, cells: str = "groups", scratch: Scratch | None = None) -> DataFrame:
     """One row for each row of ``docs``: its id, ``n_shingles`` and ``component_id``, the smallest id reachable by links.
 
     Two documents link when ``den * |A & B| >= num * |A | B|`` of their sets of ``width``-word shingles (see shingles.py:
@@ -225,14 +271,16 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    levels = spark.sparkContext.broadcast(shingle_levels(docs, "text", width))
-    rows = scratch.save(docs.mapInArrow(_features(width, num, den, levels, SKETCH_BITS), "id long, n long, sig long, keys array<long>"))
+    if cells not in ("groups", "prefix"):
+        raise ValueError(f"cells must be groups or prefix, not {cells}")
+    levels = spark.sparkContext.broadcast(shingle_levels(docs, "text", width)) if cells == "prefix" else None
+    rows = scratch.save(docs.mapInArrow(_features(width, num, den, levels), "id long, n long, sig long, keys array<long>"))
 
-    cells = rows.filter("keys is not null").select(F.explode("keys").alias("cell"), "sig")
-    cells = cells.selectExpr("cell", "sig", "min(sig) over (partition by cell) as first", "max(sig) over (partition by cell) as last")
-    cells = scratch.save(cells.filter("first <> last").select("cell", "sig", "first").distinct())
+    shared = rows.filter("keys is not null").select(F.explode("keys").alias("cell"), "sig")
+    shared = shared.selectExpr("cell", "sig", "min(sig) over (partition by cell) as first", "max(sig) over (partition by cell) as last")
+    shared = scratch.save(shared.filter("first <> last").select("cell", "sig", "first").distinct())
 
-    wanted = cells.select("sig").distinct()
+    wanted = shared.select("sig").distinct()
     at = rows.groupBy("sig").agg(F.min("id").alias("id")).join(wanted, "sig", "left_semi").select("id").distinct()
     sets = docs.join(at, "id", "left_semi").select("text").mapInArrow(_sets(width), "sig long, point binary, shingles binary")
     sets = scratch.save(sets.dropDuplicates(["sig"]))
@@ -242,28 +290,30 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         b = sets.select(F.col("sig").alias("v"), F.col("shingles").alias("b"), F.col("point").alias("q"))
         return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b", "p", "q").mapInArrow(_verify(num, den), "u long, v long")
 
-    votes = cells.filter("sig <> first").groupBy("sig", "first").agg(F.count(F.lit(1)).alias("k"))
+    votes = shared.filter("sig <> first").groupBy("sig", "first").agg(F.count(F.lit(1)).alias("k"))
     star = votes.groupBy("sig").agg(F.max_by("first", F.struct("k", "first")).alias("v")).select(F.col("sig").alias("u"), "v")
     links = scratch.save(linked(star))
     comps = connected_components(links, scratch)
 
-    known = comps.select(F.col("node").alias("sig"), "component")
-    named = cells.join(known, "sig", "left").select("cell", "sig", F.coalesce("component", "sig").alias("comp"))
-    named = named.selectExpr("cell", "sig", "comp", "min_by(comp, sig) over (partition by cell) as own", "min(comp) over (partition by cell) as lo", "max(comp) over (partition by cell) as hi", "count(*) over (partition by cell) as members")
-    open_ = scratch.save(named.filter("lo <> hi").selectExpr("cell", "sig", "comp", "own", f"cast(ceil(members / {BLOCK}) as int) as blocks"))
-    if not open_.isEmpty():
+    for few in (None,):
+        known = comps.select(F.col("node").alias("sig"), "component")
+        named = shared.join(known, "sig", "left").select("cell", "sig", F.coalesce("component", "sig").alias("comp"))
+        named = named.selectExpr("cell", "sig", "comp", "min_by(comp, sig) over (partition by cell) as own", "min(comp) over (partition by cell) as lo", "max(comp) over (partition by cell) as hi", "count(*) over (partition by cell) as members")
+        open_ = scratch.save(named.filter("lo <> hi").selectExpr("cell", "sig", "comp", "own", f"cast(ceil(members / {BLOCK}) as int) as blocks"))
+        if open_.isEmpty():
+            break
         index = open_.selectExpr("cell", "cast(pmod(xxhash64(sig), blocks) as int) as block", "false as asks", "sig", "comp")
         asks = open_.filter("comp <> own").selectExpr("cell", "explode(sequence(0, blocks - 1)) as block", "true as asks", "sig", "comp")
         both = index.unionByName(asks).join(sets.select("sig", "point"), "sig").select("cell", "block", "asks", "sig", "comp", "point")
         both = both.repartition("cell", "block").sortWithinPartitions("cell", "block", "asks")
-        pairs = both.mapInArrow(_search(num, den), "u long, v long")
+        pairs = both.mapInArrow(_search(num, den, few), "u long, v long")
         pairs = scratch.save(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
         more = scratch.save(linked(pairs))
-        scratch.drop(pairs)
         if not more.isEmpty():
-            comps = connected_components(links.unionByName(more), scratch)
-        scratch.drop(more)
-    scratch.drop(links, open_, sets, cells)
+            links = links.unionByName(more)
+            comps = connected_components(links, scratch)
+        scratch.drop(pairs, open_)
+    scratch.drop(sets, shared)
 
     known = comps.select(F.col("node").alias("sig"), "component")
     named = rows.select("id", "n", "sig").join(known, "sig", "left").withColumn("class", F.coalesce("component", "sig"))
