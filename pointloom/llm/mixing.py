@@ -56,17 +56,10 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return sizes.selectExpr("source", "source_size", "weight", "case when stops then cast(most as double) else weight * level end as target")
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", scratch: Scratch | None = None) -> DataFrame:
-    """A row for each row of ``docs``: id, ``size`` (words), ``source``, ``source_size``, ``target`` and ``taken`` (words).
-
-    A null source is a source of its own. A null, empty or blank text has size 0 and nothing is taken of it. Rows that repeat
-    an id are documents of their own with the same key. A source with no words has target 0. After the documents that fit,
-    one more of the last range is taken if that brings ``taken`` nearer to the target: the one that brings it nearest.
-    Extra columns are ignored; an empty table gives an empty table.
-    """
-    scratch = scratch or Scratch(docs.sparkSession)
+def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str, scratch: Scratch) -> DataFrame:
+    """The rows of mix_sources() under fixed names, with how often each is taken and a hash of id, source and text."""
     text = F.col(text_col)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text).alias("size"), sampling_key(F.col(id_col), quality_weight(text)).alias("key"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text).alias("size"), sampling_key(F.col(id_col), quality_weight(text)).alias("key"), F.xxhash64(id_col, source_col, text).alias("tag"))
     rows = scratch.save(rows)
     sums = scratch.save(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("documents")))
     targets = source_targets(sums.select("source", "source_size"))
@@ -84,14 +77,41 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     plan = scratch.save(plan.join(at, F.expr("source <=> s"), "left").drop("s").withColumnRenamed("source", "t"))
 
     rows = rows.join(plan, F.expr("source <=> t")).drop("t")
-    cols = ["id", "size", "source", "source_size", "target", "epochs"]
+    cols = ["id", "tag", "size", "source", "source_size", "target", "epochs"]
     edge = rows.filter("bucket = edge").selectExpr("*", "base + sum(size) over (partition by source order by key, id, size rows between unbounded preceding and current row) <= rest as fits")
     edge = edge.selectExpr("*", "rest - base - coalesce(sum(case when fits then size end) over (partition by source), 0L) as gap")
     edge = edge.selectExpr("*", "row_number() over (partition by source order by fits, abs(gap - size), key, id, size) as nearest")
     edge = edge.selectExpr(*cols, "fits or (nearest = 1 and size < 2 * gap) as picked")
     other = rows.filter("bucket <> edge").selectExpr(*cols, "bucket < edge as picked")
-    out = other.unionByName(edge)
-    return out.select(F.col("id").alias(id_col), "size", F.col("source").alias(source_col), "source_size", "target", F.expr("epochs * size + case when picked then size else 0L end").alias("taken"))
+    return other.unionByName(edge).withColumn("times", F.expr("epochs + case when picked then 1L else 0L end"))
+
+
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", scratch: Scratch | None = None) -> DataFrame:
+    """A row for each row of ``docs``: id, ``size`` (words), ``source``, ``source_size``, ``target`` and ``taken`` (words).
+
+    A null source is a source of its own. A null, empty or blank text has size 0 and nothing is taken of it. Rows that repeat
+    an id are documents of their own with the same key. A source with no words has target 0. After the documents that fit,
+    one more of the last range is taken if that brings ``taken`` nearer to the target: the one that brings it nearest.
+    Extra columns are ignored; an empty table gives an empty table.
+    """
+    out = _mixed(docs, id_col, text_col, source_col, scratch or Scratch(docs.sparkSession))
+    return out.select(F.col("id").alias(id_col), "size", F.col("source").alias(source_col), "source_size", "target", (F.col("times") * F.col("size")).alias("taken"))
+
+
+def repeat_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", scratch: Scratch | None = None) -> DataFrame:
+    """The mix itself: the rows of ``docs``, each as often as it is taken. Rows without words are never taken.
+
+    Of rows that are equal in id, source and text one stands for all, with all their repeats.
+    """
+    scratch = scratch or Scratch(docs.sparkSession)
+    out = _mixed(docs, id_col, text_col, source_col, scratch)
+    plan = out.filter("size > 0 and times > 0").groupBy("id", "tag").agg(F.sum("times").alias("times"), F.count(F.lit(1)).alias("rows"))
+    plan = scratch.save(plan.select(F.col("tag").alias("_tag"), "times", "rows"))
+    rows = docs.withColumn("_tag", F.xxhash64(id_col, source_col, text_col)).join(plan, "_tag")
+    if not plan.filter("rows > 1").isEmpty():
+        rows = rows.filter("rows = 1").unionByName(rows.filter("rows > 1").dropDuplicates(["_tag"]))
+    rows = rows.withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+    return rows.select(*docs.columns)
 
 
 ORACLE_SQL = """
