@@ -17,7 +17,8 @@ two documents that link are sure to share one. There are two kinds; both are exa
 
 Only components are asked for, so in each cell all members are first compared with one of them (linear in the cell, however
 many near copies it holds). Cells whose members then are in more than one component get an R-tree, split into blocks of
-BLOCK points; only members outside the first one's component search it, and only for members of other components.
+BLOCK points; only members outside the first one's component search it, and only for members of other components. A first
+search takes the FEW likeliest finds of each member, which leaves near copies in one component; a second takes all finds.
 """
 
 from __future__ import annotations
@@ -33,8 +34,9 @@ from .components import connected_components
 from .scratch import Scratch
 from .shingles import mix, pieces, shingle_sets, signature
 
-GROUPS = 32
+GROUPS = 64
 BLOCK = 2048
+FEW = 3
 SKETCH_BITS = 20
 
 
@@ -225,7 +227,8 @@ def _verify(num: int, den: int):
 
 
 def _search(num: int, den: int, few: int | None):
-    """Rows sorted by (cell, block), points of the tree first, then the searches: pairs that the bound lets pass."""
+    """Rows sorted by (cell, block), points of the tree first, then the searches: pairs that the bound lets pass, of each
+    search only the ``few`` whose points lie nearest if that is given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, points, sigs, comps, tree = None, [], [], [], None
@@ -295,7 +298,7 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     links = scratch.save(linked(star))
     comps = connected_components(links, scratch)
 
-    for few in (None,):
+    for few in (FEW, None):
         known = comps.select(F.col("node").alias("sig"), "component")
         named = shared.join(known, "sig", "left").select("cell", "sig", F.coalesce("component", "sig").alias("comp"))
         named = named.selectExpr("cell", "sig", "comp", "min_by(comp, sig) over (partition by cell) as own", "min(comp) over (partition by cell) as lo", "max(comp) over (partition by cell) as hi", "count(*) over (partition by cell) as members")
