@@ -1 +1,9 @@
-"""See the README."""
+"""The catalogue: every query of the library by name, and the SQL that gives its rows where SQL can."""
+
+from __future__ import annotations
+
+from . import measures, relational, sequences, timeline
+
+PARTS = (relational, timeline, measures, sequences)
+QUERIES = {name: f for part in PARTS for name, f in part.QUERIES.items()}
+SQL = {name: sql for part in PARTS for name, sql in part.SQL.items()}
