@@ -38,10 +38,10 @@ def win_by_band(spark, d):
     return A.win_by_band(shots(spark, d), A.depth_band(F.col("depth")), F.col("won"))
 
 
-@query("""select l_returnflag, median(l_quantity) as med, quantile_cont(l_quantity, 0.9) as p90, floor(stddev_samp(l_quantity) * 1000000)::BIGINT as sd_u, min(l_quantity) as lo, max(l_quantity) as hi from lineitem group by l_returnflag""")
+@query("""select l_returnflag, median(l_quantity) as med, quantile_cont(l_quantity, 0.9) as p90, round(stddev_samp(l_quantity) * 1000000)::BIGINT as sd_u, min(l_quantity) as lo, max(l_quantity) as hi from lineitem group by l_returnflag""")
 def median_p90_by_group(spark, d):
     q = F.col("l_quantity")
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.median(q).alias("med"), F.percentile(q, F.lit(0.9)).alias("p90"), F.floor(F.stddev_samp(q) * 1000000).alias("sd_u"), F.min(q).alias("lo"), F.max(q).alias("hi"))
+    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.median(q).alias("med"), F.percentile(q, F.lit(0.9)).alias("p90"), F.round(F.stddev_samp(q) * 1000000).cast("long").alias("sd_u"), F.min(q).alias("lo"), F.max(q).alias("hi"))
 
 
 @query("""with g as (select o_custkey, count(*) as n, sum(l_linenumber) as s from lineitem join orders on l_orderkey = o_orderkey group by o_custkey)
@@ -76,10 +76,10 @@ def confusion_pivot(spark, d):
 
 @query("""with r as (select l_quantity as a, l_extendedprice as b from lineitem),
 x as (select rank() over (order by a) + (count(*) over (partition by a) - 1) / 2.0 as ra, rank() over (order by b) + (count(*) over (partition by b) - 1) / 2.0 as rb from r)
-select floor(corr(ra, rb) * 1000000000)::BIGINT as spearman_n, count(*) as n from x""")
+select round(corr(ra, rb) * 1000000000)::BIGINT as spearman_n, count(*) as n from x""")
 def spearman(spark, d):
     out = M.spearman(table(spark, d, "lineitem").select("l_quantity", "l_extendedprice"), "l_quantity", "l_extendedprice")
-    return out.select(F.floor(F.col("spearman") * 1000000000).alias("spearman_n"), "n")
+    return out.select(F.round(F.col("spearman") * 1000000000).cast("long").alias("spearman_n"), "n")
 
 
 @query(f"""select (select count(*) from orders) as matches, (select count(*) from orders where o_orderstatus = 'F') as charted, (select count(*) from lineitem where l_linenumber > 1) as rally_shots,
@@ -95,7 +95,7 @@ def kpi_row(spark, d):
 
 @query(f"""with r as (select lang, n_chars, quality, rank() over (partition by lang order by n_chars) + (count(*) over (partition by lang, n_chars) - 1) / 2.0 as rk from {_JUDGED})
 select lang, (2 * sum(rk) filter (where quality = 1) - count(*) filter (where quality = 1) * (count(*) filter (where quality = 1) + 1))::DOUBLE
-  / (2 * count(*) filter (where quality = 1) * count(*) filter (where quality = 0))::DOUBLE as auc, count(*) filter (where quality = 1) as n_pos, count(*) filter (where quality = 0) as n_neg from r group by lang""")
+  / nullif(2 * count(*) filter (where quality = 1) * count(*) filter (where quality = 0), 0)::DOUBLE as auc, count(*) filter (where quality = 1) as n_pos, count(*) filter (where quality = 0) as n_neg from r group by lang""")
 def auc_ranksum(spark, d):
     return M.auc(judged(spark, d), ["lang"], "n_chars", F.col("quality") == 1)
 
@@ -103,10 +103,10 @@ def auc_ranksum(spark, d):
 @query(f"""with p as (select lang, capped / 4000.0::DOUBLE as p, quality = 1 as y from {_JUDGED}),
 b as (select lang, greatest(p, 1 - p) as c, ((p >= 0.5) = y)::INT as r, least(floor((greatest(p, 1 - p) - 0.5) * 20), 9) as bin from p),
 g as (select lang, bin, count(*) as n, abs(avg(c) - avg(r)) as gap from b group by lang, bin)
-select lang, floor(sum(gap * n) / sum(n) * 1000000000)::BIGINT as ece_n, sum(n)::BIGINT as n from g group by lang""")
+select lang, round(sum(gap * n) / sum(n) * 1000000000)::BIGINT as ece_n, sum(n)::BIGINT as n from g group by lang""")
 def calibration_ece(spark, d):
     out = M.calibration(judged(spark, d), ["lang"], F.col("capped") / F.lit(4000.0), F.col("quality") == 1)
-    return out.select("lang", F.floor(F.col("ece") * 1000000000).alias("ece_n"), "n")
+    return out.select("lang", F.round(F.col("ece") * 1000000000).cast("long").alias("ece_n"), "n")
 
 
 @query(f"""with x as (select quality::VARCHAR as truth, case when n_chars > 1200 then '1' else '0' end as hat from {_JUDGED}),
@@ -119,11 +119,11 @@ def macro_f1_classes(spark, d):
 
 @query(f"""with x as (select quality::VARCHAR as truth, case when n_chars > 1200 then '1' else '0' end as hat from {_JUDGED}),
 c as (select truth as class, count(*) as support, count(*) filter (where truth = hat) as hits, (select count(*) from x y where y.hat = x.truth) as called from x group by truth)
-select floor(sum(hits)::DOUBLE / sum(support) * 1000000)::BIGINT as accuracy_u, floor(avg((2 * hits)::DOUBLE / (support + called)) * 1000000)::BIGINT as macro_f1_u, sum(support)::BIGINT as n from c""")
+select round(sum(hits)::DOUBLE / sum(support) * 1000000)::BIGINT as accuracy_u, round(avg((2 * hits)::DOUBLE / (support + called)) * 1000000)::BIGINT as macro_f1_u, sum(support)::BIGINT as n from c""")
 def macro_f1(spark, d):
     rows = judged(spark, d).select(F.col("quality").cast("string").alias("truth"), F.when(F.col("n_chars") > 1200, "1").otherwise("0").alias("hat"))
     out = M.macro_f1(rows, "truth", "hat")
-    return out.select(F.floor(F.col("accuracy") * 1000000).alias("accuracy_u"), F.floor(F.col("macro_f1") * 1000000).alias("macro_f1_u"), "n")
+    return out.select(F.round(F.col("accuracy") * 1000000).cast("long").alias("accuracy_u"), F.round(F.col("macro_f1") * 1000000).cast("long").alias("macro_f1_u"), "n")
 
 
 @query("""select l_returnflag, count(*) as n, avg((l_linenumber = l_suppkey % 8)::INT) as exact, avg((abs(l_linenumber - l_suppkey % 8) <= 1)::INT) as within1,
@@ -252,10 +252,10 @@ def half_crossing(spark, d):
     return A.crossing(_bins(spark, d))
 
 
-@query(f"""select user_id, count(*) as n, count(*) / 4.0::DOUBLE / 3600 as hours, median(v) as median_depth, avg((v < 2000)::INT) as net_share, floor(stddev_samp(v) * 1000)::BIGINT as lateral_sd from {EV} group by user_id""")
+@query(f"""select user_id, count(*) as n, count(*) / 4.0::DOUBLE / 3600 as hours, median(v) as median_depth, avg((v < 2000)::INT) as net_share, round(stddev_samp(v) * 1000)::BIGINT as lateral_sd from {EV} group by user_id""")
 def per_match_summary(spark, d):
     out = A.match_summary(events(spark, d), "user_id", "v", "v", F.col("v") < 2000)
-    return out.withColumn("lateral_sd", F.floor(F.col("lateral_sd") * 1000))
+    return out.withColumn("lateral_sd", F.round(F.col("lateral_sd") * 1000).cast("long"))
 
 
 @query(f"""select l_suppkey, count(*) as shots, median(depth) as depth, avg((depth < 0)::INT) as inside, avg((l_linenumber = 2)::INT) as forehand,

@@ -111,11 +111,11 @@ def lag_lead_diff(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (p - F.lag(p).over(w)).alias("diff"), (F.lead(p).over(w) - p).alias("ahead"), F.lag("l_returnflag").over(w).alias("before"))
 
 
-@query(f"""select event_id, avg(v) over w7 as mean7, floor(stddev_samp(v) over w13 * 1000)::BIGINT as sd13 from {EV}
+@query(f"""select event_id, avg(v) over w7 as mean7, round(stddev_samp(v) over w13 * 1000)::BIGINT as sd13 from {EV}
   window w7 as (partition by user_id order by us, event_id rows between 3 preceding and 3 following), w13 as (partition by user_id order by us, event_id rows between 6 preceding and 6 following)""")
 def rolling_mean_std(spark, d):
     by, order = ["user_id"], ["us", "event_id"]
-    return events(spark, d).select("event_id", F.avg("v").over(T.centred(by, order, 7)).alias("mean7"), F.floor(F.stddev_samp("v").over(T.centred(by, order, 13)) * 1000).alias("sd13"))
+    return events(spark, d).select("event_id", F.avg("v").over(T.centred(by, order, 7)).alias("mean7"), F.round(F.stddev_samp("v").over(T.centred(by, order, 13)) * 1000).cast("long").alias("sd13"))
 
 
 @query(f"""select event_id, median(v) over (partition by user_id order by us, event_id rows between 1 preceding and 1 following) as median3,
