@@ -3,7 +3,7 @@
 A page is read into a tree of elements. Every element with text gets a hash of its subtree (tags, class, id, texts; no scripts).
 Spark counts, for each host, on how many different pages a subtree stands (pages with the same content count once, so that
 copies don't make a template); subtrees on many pages of the host are its template and are deleted. Blocks of text inside the
-page's article are kept though they recur: a passage that several articles quote is no template. What is left of the article,
+page's article (paragraphs, headings, lists, tables, quotes) are kept though they recur: a passage that several articles quote is no template. What is left of the article,
 or of the body where there is none, is the text, without elements that are boilerplate by their nature (menus, forms, adverts,
 comments ...), as tags, roles, classes and ids name them.
 """
@@ -33,7 +33,7 @@ _ATTR = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption option".split())
-TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li dd dt blockquote pre td th figcaption caption div section".split())
+TEXT = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl li dd dt blockquote pre table tbody thead tfoot tr td th caption figure figcaption hgroup".split())
 CLOSES_P = BLOCK - {"body", "head", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "option", "legend"}
 CLOSES = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "body": ("head",)}
 HOLDS = {"li": frozenset(("ul", "ol", "menu")), "dd": frozenset(("dl",)), "dt": frozenset(("dl",)), "tr": frozenset(("table",)), "td": frozenset(("table", "tr")), "th": frozenset(("table", "tr")), "option": frozenset(("select",)), "body": frozenset(("html",))}

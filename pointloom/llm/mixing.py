@@ -105,12 +105,12 @@ def repeat_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     scratch = scratch or Scratch(docs.sparkSession)
     out = _mixed(docs, id_col, text_col, source_col, scratch)
-    plan = out.filter("size > 0 and times > 0").groupBy("id", "tag").agg(F.sum("times").alias("times"), F.count(F.lit(1)).alias("rows"))
-    plan = scratch.save(plan.select(F.col("tag").alias("_tag"), "times", "rows"))
-    rows = docs.withColumn("_tag", F.xxhash64(id_col, source_col, text_col)).join(plan, "_tag")
-    if not plan.filter("rows > 1").isEmpty():
-        rows = rows.filter("rows = 1").unionByName(rows.filter("rows > 1").dropDuplicates(["_tag"]))
-    rows = rows.withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
+    plan = out.filter("size > 0 and times > 0").groupBy("id", "tag").agg(F.sum("times").alias("__mix_times"), F.count(F.lit(1)).alias("__mix_rows"))
+    plan = scratch.save(plan.select(F.col("tag").alias("__mix_tag"), "__mix_times", "__mix_rows"))
+    rows = docs.withColumn("__mix_tag", F.xxhash64(id_col, source_col, text_col)).join(plan, "__mix_tag")
+    if not plan.filter("__mix_rows > 1").isEmpty():
+        rows = rows.filter("__mix_rows = 1").unionByName(rows.filter("__mix_rows > 1").dropDuplicates(["__mix_tag"]))
+    rows = rows.withColumn("__mix_time", F.explode(F.sequence(F.lit(1).cast("long"), "__mix_times")))
     return rows.select(*docs.columns)
 
 
