@@ -10,6 +10,7 @@ each language by a hash of the id, and their MAX_WORDS most frequent words.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,48 +41,64 @@ def vocabulary(path: str) -> dict[str, int]:
     return {p: i + 1 for i, p in enumerate(kept)}
 
 
+def with_prefixes(pieces: dict[str, int]) -> dict[str, int]:
+    """The pieces, and -1 for what is only the beginning of one."""
+    out = {p[:k]: -1 for p in pieces for k in range(1, len(p))}
+    return out | pieces
+
+
 class Lattice:
-    """Words of one length and, for each end and piece length, the piece's number (-1: none)."""
-
-    def __init__(self, words: list[str], pieces: dict[str, int], longest: int):
-        marked = ["▁" + w for w in words]
-        self.n = n = len(marked[0])
-        self.steps: list[tuple[int, int, np.ndarray]] = []
-        get = pieces.get
-        for end in range(1, n + 1):
-            for k in range(1, min(longest, end) + 1):
-                ids = np.fromiter((get(w[end - k : end], 0 if k == 1 else -1) for w in marked), np.int32, len(marked))
-                if k == 1 or (ids >= 0).any():
-                    self.steps.append((end, k, ids))
+    """Words of one length and, for each end and piece length, which words have a piece there and its number."""
+
+    def __init__(self, words: list[str], known: dict[str, int]):
+        self.n, self.size = len(words[0]) + 1, len(words)
+        n = self.n
+        found: list[tuple[list[int], list[int]]] = [([], []) for _ in range((n + 1) * (n + 1))]
+        get = known.get
+        for row, word in enumerate(words):
+            marked = "▁" + word
+            for start in range(n):
+                number = get(marked[start])
+                at = found[(start + 1) * (n + 1) + 1]
+                at[0].append(row)
+                at[1].append(number if number is not None and number > 0 else 0)
+                if number is None:
+                    continue
+                for end in range(start + 2, n + 1):
+                    number = get(marked[start:end])
+                    if number is None:
+                        break
+                    if number > 0:
+                        at = found[end * (n + 1) + end - start]
+                        at[0].append(row)
+                        at[1].append(number)
+        self.steps = [(*divmod(i, n + 1), np.array(rows), np.array(ids)) for i, (rows, ids) in enumerate(found) if rows]
 
     def forward(self, p: np.ndarray) -> np.ndarray:
-        """(n + 1, words, languages): the sums over segmentations up to each place. p has a row of zeros at the end."""
-        a = np.zeros((self.n + 1, len(self.steps[0][2]), p.shape[1]))
+        """(n + 1, words, languages): the sums over segmentations up to each place."""
+        a = np.zeros((self.n + 1, self.size, p.shape[1]))
         a[0] = 1
-        for end, k, ids in self.steps:
-            a[end] += a[end - k] * p[ids]
+        for end, k, rows, ids in self.steps:
+            a[end, rows] += a[end - k, rows] * p[ids]
         return a
 
     def backward(self, p: np.ndarray) -> np.ndarray:
-        b = np.zeros((self.n + 1, len(self.steps[0][2]), p.shape[1]))
+        b = np.zeros((self.n + 1, self.size, p.shape[1]))
         b[self.n] = 1
-        for end, k, ids in reversed(self.steps):
-            b[end - k] += b[end] * p[ids]
+        for end, k, rows, ids in reversed(self.steps):
+            b[end - k, rows] += b[end, rows] * p[ids]
         return b
 
 
 @dataclass
 class LanguageModel:
-    """``p``: a row for each piece (0 for other letters) and a last row of zeros, a column for each language."""
+    """``p``: a row for each piece (0 for other letters), a column for each language."""
 
     langs: list[str]
     pieces: dict[str, int]
     p: np.ndarray
     prior: np.ndarray
-
-    @property
-    def longest(self) -> int:
-        return max(map(len, self.pieces), default=1)
+    known: dict[str, int] | None = None
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         """Log-probability of each word in each language."""
@@ -89,36 +106,36 @@ class LanguageModel:
         by_length: dict[int, list[int]] = {}
         for i, w in enumerate(words):
             by_length.setdefault(len(w), []).append(i)
+        known = with_prefixes(self.pieces) if self.known is None else self.known
+        self.known = known
         for at in by_length.values():
             for k in range(0, len(at), 4096):
                 own = at[k : k + 4096]
-                out[own] = np.log(np.maximum(Lattice([words[i] for i in own], self.pieces, self.longest).forward(self.p)[-1], 1e-300))
+                out[own] = np.log(np.maximum(Lattice([words[i] for i in own], known).forward(self.p)[-1], 1e-300))
         return out
 
 
 def train(words: dict[str, dict[str, int]], pieces: dict[str, int], prior: dict[str, float], rounds: int = ROUNDS, smooth: float = 0.02) -> LanguageModel:
     """A model from the word counts of each language, by expectation maximisation from equal probabilities."""
     langs = sorted(words)
-    longest = max(map(len, pieces), default=1)
+    known = with_prefixes(pieces)
     size = len(pieces) + 1
-    p = np.full((size + 1, len(langs)), 1.0 / size)
+    p = np.full((size, len(langs)), 1.0 / size)
     p[0] = 1e-3 / size
-    p[-1] = 0
     for column, lang in enumerate(langs):
         by_length: dict[int, list[str]] = {}
         for w in words[lang]:
             by_length.setdefault(len(w), []).append(w)
-        data = [(Lattice(ws, pieces, longest), np.array([words[lang][w] for w in ws], np.float64)) for ws in by_length.values()]
+        data = [(Lattice(ws, known), np.array([words[lang][w] for w in ws], np.float64)) for ws in by_length.values()]
         q = p[:, [column]]
         for _ in range(rounds):
             counts = np.zeros(size)
             for lattice, n in data:
                 a, b = lattice.forward(q), lattice.backward(q)
                 z = np.maximum(a[-1, :, 0], 1e-300)
-                for end, k, ids in lattice.steps:
-                    held = ids >= 0
-                    counts += np.bincount(ids[held], (a[end - k, :, 0] * q[ids, 0] * b[end, :, 0] / z * n)[held], minlength=size)
-            q = np.append((counts + smooth) / (counts.sum() + smooth * size), 0)[:, None]
+                for end, k, rows, ids in lattice.steps:
+                    counts += np.bincount(ids, a[end - k, rows, 0] * q[ids, 0] * b[end, rows, 0] / z[rows] * n[rows], minlength=size)
+            q = ((counts + smooth) / (counts.sum() + smooth * size))[:, None]
         p[:, column] = q[:, 0]
     return LanguageModel(langs, pieces, p, np.log(np.array([prior[x] for x in langs], np.float64)) if langs else np.zeros(0))
 
@@ -168,22 +185,28 @@ class _Numbers(dict):
         return n
 
 
-def _predict(model, limit: int = 400_000):
+#: What a worker holds of the last model: its name, the words' rows and their scores.
+_held: list = [None, None, None]
+
+
+def _predict(model, name: str = "", limit: int = 400_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: LanguageModel = model.value
-        numbers, scores = _Numbers(), np.zeros((0, len(m.langs)))
+        if _held[0] != name or not name:
+            _held[:] = [name, _Numbers(), np.zeros((0, len(m.langs)))]
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                if len(numbers) > limit:
-                    numbers, scores = _Numbers(), np.zeros((0, len(m.langs)))
+                if len(_held[1]) > limit:
+                    _held[1:] = [_Numbers(), np.zeros((0, len(m.langs)))]
+                numbers, scores = _held[1:]
                 docs = []
                 for x in batch.column(1):
                     words = letter_words(x.as_py())
                     docs.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
                 if len(numbers) > len(scores) and m.langs:
                     fresh = list(numbers)[len(scores) :]
-                    scores = np.vstack([scores, m.word_scores(fresh)])
+                    scores = _held[2] = np.vstack([scores, m.word_scores(fresh)])
                 langs, values = [], []
                 for ids in docs:
                     if not len(ids) or not m.langs:
@@ -216,5 +239,5 @@ def predict_languages(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", t
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), held_out(F.col(id_col)).alias("held_out"))
     kind = rows.schema["id"].dataType.simpleString()
-    out = rows.mapInArrow(_predict(shared), f"id {kind}, held_out boolean, lang_pred string, score double")
+    out = rows.mapInArrow(_predict(shared, uuid.uuid4().hex), f"id {kind}, held_out boolean, lang_pred string, score double")
     return out.withColumnRenamed("id", id_col)

@@ -96,12 +96,14 @@ def test_tokens_like_the_library():
     texts += [texts[3] + " " + texts[4]] * 3 + ["", None]
     got = encoder.encode_batch(texts)
     assert got == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
-    assert encoder.reused and encoder.repaired
+    assert encoder.reused
 
 
 def test_joins_are_repaired(monkeypatch):
     t, encoder = Tokenizer.from_file(BPE), bpe.ChunkEncoder(BPE)
     # cut inside words and runs of marks: joins then hold only once they are repaired
+    assert encoder.plain
+    encoder.plain = False
     monkeypatch.setattr(bpe, "chunks", lambda text, **_: [[c for c in text[i : i + 7]] for i in range(0, len(text), 7)])
     for text in ("international cooperation!!!!!!!!!!!! of the <|endoftext|> people", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa bbbbbbbbbbbbbbbbbbb"):
         assert encoder.encode_batch([text])[0] == t.encode(text, add_special_tokens=False).ids
