@@ -105,19 +105,28 @@ def segments(rows: DataFrame, by: list[str], on: str, gap: float = 2.01, least:
     return runs.join(step, by).select(*by, "island", (F.col("_a") - half).alias("start"), (F.col("_b") + half).alias("end"), (F.col("_b") - F.col("_a") + F.col("_step")).alias("dur"))
 
 
+def ticks(on: str, *spans: int | float) -> tuple[Column, list[int]]:
+    """An order and spans for a range window: as they are if whole, else in millionths, as Spark takes whole numbers only."""
+    if all(isinstance(s, int) for s in spans):
+        return F.col(on), list(spans)
+    return F.round(F.col(on) * 1_000_000).cast("long"), [round(s * 1_000_000) for s in spans]
+
+
 def density(samples: DataFrame, events: DataFrame, by: list[str], on: str, radius: int | float, name: str) -> DataFrame:
     """How many events lie in [t - radius, t + radius) of each sample."""
     a = samples.select("*", F.col(on).alias("_t"), F.lit(1).alias("_side"))
     both = a.unionByName(events.select(*by, F.col(on).alias("_t"), F.lit(0).alias("_side")), allowMissingColumns=True)
     one = F.when(F.col("_side") == 0, 1)
-    w = Window.partitionBy(*by).orderBy("_t")
-    upto = F.count(one).over(w.rangeBetween(-radius, radius)) - F.count(F.when(F.col("_side") == 0, 1)).over(w.rangeBetween(radius, radius))
+    at, (r,) = ticks("_t", radius)
+    w = Window.partitionBy(*by).orderBy(at)
+    upto = F.count(one).over(w.rangeBetween(-r, r)) - F.count(one).over(w.rangeBetween(r, r))
     return both.withColumn(name, upto).filter("_side = 1").select(*samples.columns, name)
 
 
 def quiet_before(events: DataFrame, by: list[str], on: str, loud: Column, far: int | float, near: int | float, name: str = "quiet") -> DataFrame:
     """Whether none of a key's events from ``far`` to ``near`` before this one (both count) is loud."""
-    w = Window.partitionBy(*by).orderBy(on).rangeBetween(-far, -near)
+    at, (a, b) = ticks(on, far, near)
+    w = Window.partitionBy(*by).orderBy(at).rangeBetween(-a, -b)
     return events.withColumn(name, F.coalesce(F.max(loud.cast("int")).over(w), F.lit(0)) == 0)
 
 

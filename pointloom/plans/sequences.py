@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import session
 from ..operators import models as ML
 from ..operators import notation as N
+from ..operators import points as P
 from ..operators import scoring as S
 from ..operators import sequence as Q
 from ..operators.temporal import islands
@@ -233,3 +234,33 @@ def gbt_loo(spark, d):
     x = rows.select("doc_id", "source", F.col("quality").cast("double").alias("label"), F.col("n_chars").cast("double").alias("chars"), marks.alias("marks"), upper.alias("upper"))
     x = ML.folds(x, "source", most=5, k=3)
     return ML.out_of_fold(x, ML.binary(["chars", "marks", "upper"], rounds=8, depth=3), "label").select("doc_id", "fold", "label", "p")
+
+
+@query(f"""with s as (select user_id, event_id, us, v, v % 100 < 90 as fits, row_number() over (partition by user_id order by us, event_id) as shot_no from {EV}),
+c as (select *, min(case when not fits then shot_no end) over (partition by user_id) as cut from s)
+select user_id, event_id, shot_no, count(*) over (partition by user_id) as rally from c where cut is null or shot_no < cut""")
+def cut_tails(spark, d):
+    w = Window.partitionBy("user_id").orderBy("us", "event_id")
+    rows = events(spark, d).select(F.col("user_id").alias("match"), F.lit(0).alias("pid"), "event_id", F.row_number().over(w).cast("long").alias("shot_no"), F.when(F.col("v") % 100 < 90, 1.0).otherwise(0.0).alias("p"))
+    return P.cut_tails(rows, "p", 0.5).select(F.col("match").alias("user_id"), "event_id", "shot_no", "rally")
+
+
+@query()
+def rally_time_features(spark, d):
+    e = events(spark, d)
+    t = (F.col("us") / 3_600_000_000.0).alias("t")
+    half = F.when(F.col("v") % 2 == 0, "near").otherwise("far").alias("half")
+    tracks = e.select(F.col("user_id").alias("match"), F.lit(0).alias("seg"), t, half, (F.col("v") % 50 / 10.0).alias("cx"), (F.col("v") % 90 / 10.0).alias("cy"))
+    onsets = e.filter("event_type = 'purchase'").select(F.col("user_id").alias("match"), t, (F.col("v") / 100.0).alias("z"))
+    return P.rally_time_features(tracks, onsets, onsets.select("match", F.col("t").alias("t_start"), F.col("t").alias("t_last")))
+
+
+@query()
+def contact_positions(spark, d):
+    e = events(spark, d)
+    t = (F.col("us") / 3_600_000_000.0).alias("t")
+    half = F.when(F.col("v") % 2 == 0, "near").otherwise("far")
+    tracks = e.filter("event_type <> 'purchase'").select(F.col("user_id").alias("match"), half.alias("half"), t, (F.col("v") % 50 / 10.0).alias("cx"), (F.col("v") % 90 / 10.0).alias("cy"))
+    w = Window.partitionBy("user_id").orderBy("us", "event_id")
+    contacts = e.filter("event_type = 'purchase'").select(F.col("user_id").alias("match"), F.lit(1).alias("pid"), F.row_number().over(w).alias("shot_no"), F.lit(None).cast("int").alias("serve_no"), t, half.alias("hitter_end"))
+    return P.enrich(contacts, tracks)
