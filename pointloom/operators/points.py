@@ -31,11 +31,11 @@ def candidate_features(onsets: DataFrame, segments: DataFrame, tracks: DataFrame
         h, own = half[0], tracks.filter(F.col("half") == half).select("match", "t", "cx", "cy")
         for name, shift in (("", 0.0), ("_before", -1.0), ("_after", 0.6)):
             moved = rows.withColumn("_now", F.col("t")).withColumn("t", F.col("t") + shift)
-            rows = T.lerp(moved, own, ["match"], "t", ["cx", "cy"], tolerance=0.5, prefix=f"_{h}{name}_").withColumn("t", F.col("_now")).drop("_now")
-        x, y = f"_{h}_cx", f"_{h}_cy"
-        speed = lambda name, dt: F.hypot(F.col(f"_{h}{name}_cx") - F.col(x), F.col(f"_{h}{name}_cy") - F.col(y)) / dt  # noqa: B023, E731
+            rows = T.lerp(moved, own, ["match"], "t", ["cx", "cy"], tolerance=0.5, prefix=f"at_{h}{name}_").withColumn("t", F.col("_now")).drop("_now")
+        x, y = f"at_{h}_cx", f"at_{h}_cy"
+        speed = lambda name, dt: F.hypot(F.col(f"at_{h}{name}_cx") - F.col(x), F.col(f"at_{h}{name}_cy") - F.col(y)) / dt  # noqa: B023, E731
         rows = rows.withColumn(f"{h}_spd_before", speed("_before", 1.0)).withColumn(f"{h}_spd_after", speed("_after", 0.6))
-        rows = rows.withColumn(f"{h}_x", F.col(x)).withColumn(f"{h}_y", F.col(y)).drop(*[c for c in rows.columns if c.startswith(f"_{h}")])
+        rows = rows.withColumn(f"{h}_x", F.col(x)).withColumn(f"{h}_y", F.col(y)).drop(*[c for c in rows.columns if c.startswith(f"at_{h}")])
         samples = cues.filter(F.col("half") == half).select("match", "t", *[F.col(c).alias(f"_{c}") for c in cue_names], F.lit(True).alias("_cue"))
         both = rows.unionByName(samples, allowMissingColumns=True)
         at, (before, after, near) = T.ticks("t", 0.55, 0.10, 0.15)
