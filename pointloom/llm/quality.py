@@ -8,10 +8,12 @@ hash of the id) train a logistic scorer over hashed features, which then scores
 
 from __future__ import annotations
 
+import codecs
 import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -21,34 +23,47 @@ from pyspark.sql import functions as F
 
 MAX_DOCS = 20_000
 BITS = 16
-_MARKS = re.compile(r"[^\w\s.,;:'\"()?-]")
-_TAIL = re.compile(r"[^\w\s.,;:'\"()?-]{2,}(?=\s|$)")
-_ENDS = re.compile(r"[.!?](?=\s|$)")
-_UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]")
-_LOWER = re.compile(r"[a-zß-öø-ÿ]")
 
 
-def signals(text: str | None) -> dict[str, float]:
-    """Measures of a whole text that the labellers and the scorer look at."""
+def _table(kind) -> bytes:
+    return bytes(ord(kind(chr(i))) for i in range(256))
+
+
+#: Latin-1 text with X for capitals, x for other letters and 9 for digits; white space and marks stay.
+_KINDS = _table(lambda c: "X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else " " if c == "\xa0" else c)
+_PLAIN = b"Xx9 \t\n\r\x0b\x0c_.,;:'\"()?-"
+_MARKS = bytes(set(range(33, 127)) - set(range(48, 58)) - set(range(65, 91)) - set(range(97, 123)) - set(_PLAIN)) + bytes(set(range(161, 192)) - {170, 181, 186}) + b"\xd7\xf7"
+#: Letters beyond Latin-1 count as small letters.
+codecs.register_error("pointloom-letters", lambda e: ("x" * (e.end - e.start), e.end))
+
+
+def kinds(text: str) -> bytes:
+    return text.encode("latin-1", "pointloom-letters").translate(_KINDS)
+
+
+def signals(text: str | None) -> tuple[dict[str, float], Counter]:
+    """Measures of a whole text that the labellers and the scorer look at, and how often each shape of word occurs."""
     text = text or ""
-    words = text.split()
-    n = len(words)
+    shapes, words = kinds(text), text.split()
+    n, size = len(words), max(1, len(text))
+    counts, tokens = Counter(words), Counter(shapes.split())
     lines = [x for x in text.split("\n") if x.strip()]
-    upper, lower = len(_UPPER.findall(text)), len(_LOWER.findall(text))
-    counts = Counter(words)
+    upper, lower = shapes.count(b"X"), shapes.count(b"x")
+    of = lambda test: sum(c for w, c in tokens.items() if test(w)) / max(1, n)
     return {
         "words": n,
-        "marks": len(_MARKS.findall(text)) / max(1, len(text)),
+        "marks": (len(shapes) - len(shapes.translate(None, _MARKS))) / size,
         "upper": upper / max(1, upper + lower),
-        "tails": len(_TAIL.findall(text)) / max(1, n),
+        "tails": of(lambda w: len(w) > 1 and w[-1] in _MARKS and w[-2] in _MARKS),
         "pairs": 1 - len(set(zip(words, words[1:]))) / (n - 1) if n > 1 else 0.0,
+        "again": sum(map(eq, words, words[1:])) / (n - 1) if n > 1 else 0.0,
         "top": max(counts.values()) / n if n else 0.0,
         "lines": 1 - len(set(lines)) / len(lines) if lines else 0.0,
         "n_lines": len(lines),
-        "ends": len(_ENDS.findall(text)) / max(1, n),
-        "length": sum(map(len, words)) / max(1, n),
-        "wordless": sum(c for w, c in counts.items() if not any(map(str.isalnum, w))) / max(1, n),
-    }
+        "ends": of(lambda w: w[-1] in b".!?"),
+        "length": sum(len(w) * c for w, c in tokens.items()) / max(1, n),
+        "wordless": of(lambda w: b"x" not in w and b"X" not in w and b"9" not in w),
+    }, tokens
 
 
 def _between(good: float, bad: float):
@@ -60,6 +75,7 @@ LABELLERS = {
     "lower case": lambda s: _between(0.12, 0.3)(s["upper"]) if s["words"] >= 5 else 0,
     "plain word ends": lambda s: _between(0.03, 0.2)(s["tails"]),
     "new word pairs": lambda s: _between(0.3, 0.55)(s["pairs"]) if s["words"] >= 40 else 0,
+    "no stutter": lambda s: _between(0.05, 0.3)(s["again"]) if s["words"] >= 20 else 0,
     "no main word": lambda s: _between(0.15, 0.3)(s["top"]) if s["words"] >= 40 else 0,
     "new lines": lambda s: _between(0.2, 0.5)(s["lines"]) if s["n_lines"] >= 5 else 0,
     "sentences": lambda s: (1 if 0.015 <= s["ends"] <= 0.5 else -1) if s["words"] >= 80 else 0,
@@ -104,22 +120,24 @@ def fit_weak_labels(patterns: np.ndarray, counts: np.ndarray, rounds: int = 60)
 
 
 class _Shapes(dict):
-    """The hashed number of a word's shape: runs of upper, lower, digits and each other character, once each."""
+    """The hashed number of a word's shape: runs of capitals, small letters, digits and each mark, + for more than one."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         if len(self) > 300_000:
             self.clear()
-        shape = re.sub(r"(.)\1+", r"\1+", "".join("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in word[:64]))
-        n = self[word] = xxhash.xxh32_intdigest(shape, 1) >> (32 - BITS)
+        n = self[word] = xxhash.xxh32_intdigest(re.sub(rb"(?s)(.)\1+", rb"\1+", word[:64]), 1) >> (32 - BITS)
         return n
 
 
-def hashed(text: str | None, s: dict[str, float], shapes: _Shapes) -> tuple[list[int], list[float]]:
+def hashed(s: dict[str, float], tokens: Counter, shapes: _Shapes) -> tuple[list[int], list[float]]:
     """Numbers and values of a text's features: square roots of the shares of word shapes, and the signals in steps."""
-    words = (text or "").split()
-    counts = Counter(map(shapes.__getitem__, words))
-    idx, val = list(counts), [(c / len(words)) ** 0.5 for c in counts.values()]
-    for name in ("marks", "upper", "tails", "pairs", "top", "lines", "ends", "wordless"):
+    shares: dict[int, int] = {}
+    for w, c in tokens.items():
+        k = shapes[w]
+        shares[k] = shares.get(k, 0) + c
+    total = max(1, sum(shares.values()))
+    idx, val = list(shares), [(c / total) ** 0.5 for c in shares.values()]
+    for name in ("marks", "upper", "tails", "pairs", "again", "top", "lines", "ends", "wordless"):
         step = int(min(19, s[name] * 20)) if name != "marks" else int(min(19, s[name] * 100))
         size = "short" if s["words"] < 40 else "long"
         idx.append(xxhash.xxh32_intdigest(f"{name} {step} {size}", 2) >> (32 - BITS))
@@ -134,9 +152,9 @@ def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ks, sampled, idx, val = [], batch.column(1).to_pylist(), [], []
         for x, keep in zip(batch.column(0), sampled):
             text = x.as_py()
-            s = signals(text)
+            s, tokens = signals(text)
             ks.append(sum((v + 1) * 3**i for i, v in enumerate(votes(s))))
-            a, b = hashed(text, s, shapes) if keep else (None, None)
+            a, b = hashed(s, tokens, shapes) if keep else (None, None)
             idx.append(a)
             val.append(b)
         yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int64()), pa.array(idx, pa.list_(pa.int32())), pa.array(val, pa.list_(pa.float64()))], ["pattern", "idx", "val"])
@@ -153,7 +171,7 @@ class QualityModel:
     bias: float
 
     def score(self, text: str | None, shapes: _Shapes) -> float:
-        idx, val = hashed(text, signals(text), shapes)
+        idx, val = hashed(*signals(text), shapes)
         return float(1 / (1 + np.exp(-np.clip(self.weights[idx] @ np.array(val) + self.bias, -500, 500))))
 
 
@@ -193,8 +211,8 @@ def _score(model):
             out, weak = [], []
             for x in batch.column(1):
                 text = x.as_py()
-                s = signals(text)
-                idx, val = hashed(text, s, shapes)
+                s, tokens = signals(text)
+                idx, val = hashed(s, tokens, shapes)
                 out.append(float(m.weights[idx] @ np.array(val) + m.bias))
                 weak.append(votes(s))
             score = 1 / (1 + np.exp(-np.clip(np.array(out), -500, 500)))
