@@ -1,6 +1,8 @@
 """N-gram Jaccard join: count-vector R-trees over cells of documents that may link.
 
-A document is the set of its word shingles. Its shingles are hashed into GROUPS groups, and the group counts are a point.
+A document is the set of its word shingles. Its shingles are hashed into groups, and the group counts are a point: GROUPS of
+them, doubled as long as they hold more than FULL shingles each, for unlike long documents have like counts in few large
+groups. Points of more groups are folded to fewer by adding neighbours; the tree itself is over GROUPS.
 The sum over the groups of the smaller of two counts bounds the overlap of two documents from above, so a box of points
 whose upper corner, or a pair whose points, can't reach the overlap asked for are passed over without a look at the sets.
 
@@ -35,13 +37,28 @@ from .scratch import Scratch
 from .shingles import mix, pieces, shingle_sets, signature
 
 GROUPS = 64
+FULL = 8
 BLOCK = 2048
 FEW = 3
 SKETCH_BITS = 20
 
 
-def count_vector(shingles: np.ndarray, groups: int = GROUPS) -> np.ndarray:
-    return np.bincount((mix(shingles, 7) % np.uint64(groups)).astype(np.int64), minlength=groups).astype(np.int32)
+def count_vector(shingles: np.ndarray) -> np.ndarray:
+    bits = GROUPS.bit_length() - 1
+    while len(shingles) > FULL << bits:
+        bits += 1
+    return np.bincount((mix(shingles, 7) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.int32)
+
+
+def fold(counts: np.ndarray, groups: int) -> np.ndarray:
+    """Vectors (the last axis) of more groups as vectors of ``groups``."""
+    return counts if counts.shape[-1] == groups else counts.reshape(*counts.shape[:-1], groups, -1).sum(axis=-1)
+
+
+def may_link(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
+    """Whether two points (size, counts) allow num/den of the union in common: the sum of minima bounds the overlap."""
+    groups = min(len(a), len(b)) - 1
+    return bool(np.minimum(fold(a[1:], groups), fold(b[1:], groups)).sum() * (num + den) >= num * (int(a[0]) + int(b[0])))
 
 
 def prefix_size(n: int, num: int, den: int) -> int:
@@ -169,15 +186,16 @@ def prefix_cells(shingles: np.ndarray, num: int, den: int, level: np.ndarray) ->
 
 
 def _features(width: int, num: int, den: int, levels):
-    """(row's id, set size, signature, cells); a set met before in the same task has no cells again."""
+    """(row's id, set size, signature, cells, point); a set met before in the same task has no cells again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, classes = set(), SizeClasses(num, den)
         level = levels.value.astype(np.uint64) << np.uint64(58) if levels else None
         for batch in pieces(batches):
-            n, sig, keys = [], [], []
+            n, sig, keys, points = [], [], [], []
             for own in shingle_sets(batch.column(1), width):
                 n.append(len(own))
+                points.append(np.concatenate([[len(own)], count_vector(own)]).astype(np.int32).tobytes() if len(own) else None)
                 sig.append(signature(own) if len(own) else None)
                 if not len(own) or sig[-1] in known:
                     keys.append(None)
@@ -185,43 +203,74 @@ def _features(width: int, num: int, den: int, levels):
                 if len(known) < 1 << 18:
                     known.add(sig[-1])
                 keys.append((classes.cells(own) if level is None else prefix_cells(own, num, den, level)).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["id", "n", "sig", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(points, pa.binary())], ["id", "n", "sig", "keys", "point"])
 
     return run
 
 
-def _sets(width: int):
+def bitmap(hashes: DataFrame, most_bits: int = 27) -> np.ndarray:
+    """A bit for each 64-bit hash in column ``h``, ten bits a hash, 2^most_bits at most (16 MB): what is sent to all tasks has
+    this bound. More hashes only make the test below let more rows pass."""
+    n = hashes.count()
+    bits = min(most_bits, max(16, (10 * n).bit_length()))
+    word, bit = F.shiftrightunsigned(F.col("h"), 64 - bits + 6), F.shiftrightunsigned(F.col("h"), 64 - bits).bitwiseAND(63).cast("int")
+    rows = hashes.select(word.alias("word"), bit.alias("b")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("bits"))
+    table = rows.toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[table.column("word").to_numpy()] = table.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
+def may_hold(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    bits = np.uint64(len(table).bit_length() - 1 + 6)
+    at = hashes.view(np.uint64) >> (np.uint64(64) - bits)
+    return (table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+
+def _sets(width: int, wanted, sigs):
+    """Sets of the rows whose hash of the id and whose signature may be wanted, each signature once a task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches):
-            sig, points, sets = [], [], []
-            for own in shingle_sets(batch.column(0), width):
-                sig.append(signature(own) if len(own) else None)
-                points.append(np.concatenate([[len(own)], count_vector(own)]).astype(np.int32).tobytes())
-                sets.append(own.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(points, pa.binary()), pa.array(sets, pa.binary())], ["sig", "point", "shingles"])
+        seen: set[int] = set()
+        for batch in batches:
+            batch = batch.filter(pa.array(may_hold(wanted.value, batch.column(0).to_numpy(zero_copy_only=False))))
+            for part in pieces(iter([batch])):
+                own = [x for x in shingle_sets(part.column(1), width) if len(x)]
+                names = np.array([signature(x) for x in own], np.int64)
+                keep = []
+                for i in np.flatnonzero(may_hold(sigs.value, names)).tolist():
+                    if names[i] not in seen:
+                        seen.add(names[i])
+                        keep.append(i)
+                yield pa.RecordBatch.from_arrays([pa.array(names[keep], pa.int64()), pa.array([own[i].tobytes() for i in keep], pa.binary())], ["sig", "shingles"])
+
+    return run
+
+
+def _bound(num: int, den: int):
+    """Of pairs with both points, those whose sum of minima allows a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            may = [may_link(np.frombuffer(p.as_buffer(), np.int32), np.frombuffer(q.as_buffer(), np.int32), num, den) for p, q in zip(batch.column(2), batch.column(3))]
+            yield batch.select([0, 1]).filter(pa.array(may, pa.bool_()))
 
     return run
 
 
 def _verify(num: int, den: int):
-    """Of pairs with both sets, those that link: first the bound of the group counts, then the sets."""
+    """Of pairs with both sets, those that link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left = right = None
             keep = []
-            u, v = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i, (a, b, p, q) in enumerate(zip(batch.column(2), batch.column(3), batch.column(4), batch.column(5))):
-                x, y = np.frombuffer(p.as_buffer(), np.int32), np.frombuffer(q.as_buffer(), np.int32)
-                if not RTree._may(x, y[:1], y[None, :], num, den)[0]:
-                    continue
+            for a, b in zip(batch.column(2), batch.column(3)):
                 left, right = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
                 small, large = (left, right) if len(left) <= len(right) else (right, left)
                 at = np.searchsorted(large, small)
                 common = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-                if common * (num + den) >= num * (len(left) + len(right)):
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([u[i] for i in keep], pa.int64()), pa.array([v[i] for i in keep], pa.int64())], ["u", "v"])
+                keep.append(common * (num + den) >= num * (len(left) + len(right)))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -247,12 +296,15 @@ def _search(num: int, den: int, few: int | None):
                 if tree is None:
                     if not points:
                         continue
-                    at_point, at_sig, at_comp = np.array(points, np.int64), np.array(sigs), np.array(comps)
-                    tree = RTree(at_point)
-                found = tree.search(own.astype(np.int64), num, den)
+                    at_point = np.array([np.concatenate([x[:1], fold(x[1:], GROUPS)]) for x in points], np.int64)
+                    at_sig, at_comp, tree = np.array(sigs), np.array(comps), RTree(at_point)
+                coarse = np.concatenate([own[:1], fold(own[1:], GROUPS)]).astype(np.int64)
+                found = tree.search(coarse, num, den)
                 found = found[at_comp[found] != comp]
+                if len(own) > GROUPS + 1 and len(found):
+                    found = found[[may_link(own, points[i], num, den) for i in found]]
                 if few and len(found) > few:
-                    apart = np.abs(at_point[found] - own).sum(axis=1)
+                    apart = np.abs(at_point[found] - coarse).sum(axis=1)
                     found = found[np.argpartition(apart, few)[:few]]
                 found = at_sig[found]
                 u += [sig] * len(found)
@@ -277,25 +329,32 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if cells not in ("groups", "prefix"):
         raise ValueError(f"cells must be groups or prefix, not {cells}")
     levels = spark.sparkContext.broadcast(shingle_levels(docs, "text", width)) if cells == "prefix" else None
-    rows = scratch.save(docs.mapInArrow(_features(width, num, den, levels), "id long, n long, sig long, keys array<long>"))
+    rows = scratch.save(docs.mapInArrow(_features(width, num, den, levels), "id long, n long, sig long, keys array<long>, point binary"))
 
     shared = rows.filter("keys is not null").select(F.explode("keys").alias("cell"), "sig")
     shared = shared.selectExpr("cell", "sig", "min(sig) over (partition by cell) as first", "max(sig) over (partition by cell) as last")
     shared = scratch.save(shared.filter("first <> last").select("cell", "sig", "first").distinct())
 
-    wanted = shared.select("sig").distinct()
-    at = rows.groupBy("sig").agg(F.min("id").alias("id")).join(wanted, "sig", "left_semi").select("id").distinct()
-    sets = docs.join(at, "id", "left_semi").select("text").mapInArrow(_sets(width), "sig long, point binary, shingles binary")
-    sets = scratch.save(sets.dropDuplicates(["sig"]))
+    points = rows.filter("point is not null").select("sig", "point").join(shared.select("sig").distinct(), "sig", "left_semi")
+    points = scratch.save(points.dropDuplicates(["sig"]))
 
     def linked(pairs: DataFrame) -> DataFrame:
-        a = sets.select(F.col("sig").alias("u"), F.col("shingles").alias("a"), F.col("point").alias("p"))
-        b = sets.select(F.col("sig").alias("v"), F.col("shingles").alias("b"), F.col("point").alias("q"))
-        return pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b", "p", "q").mapInArrow(_verify(num, den), "u long, v long")
+        """Bounded by the points first; only the sets of pairs that pass are read from the texts again."""
+        p, q = points.select(F.col("sig").alias("u"), F.col("point").alias("p")), points.select(F.col("sig").alias("v"), F.col("point").alias("q"))
+        may = scratch.save(pairs.join(p, "u").join(q, "v").select("u", "v", "p", "q").mapInArrow(_bound(num, den), "u long, v long"))
+        sigs = may.select(F.explode(F.array("u", "v")).alias("sig")).distinct()
+        ids = rows.filter("n > 0").join(sigs, "sig", "left_semi").groupBy("sig").agg(F.min("id").alias("id"))
+        wanted = spark.sparkContext.broadcast(bitmap(ids.select(F.xxhash64("id").alias("h"))))
+        names = spark.sparkContext.broadcast(bitmap(sigs.select(F.col("sig").alias("h"))))
+        sets = scratch.save(docs.select(F.xxhash64("id").alias("h"), "text").mapInArrow(_sets(width, wanted, names), "sig long, shingles binary"))
+        a, b = sets.select(F.col("sig").alias("u"), F.col("shingles").alias("a")), sets.select(F.col("sig").alias("v"), F.col("shingles").alias("b"))
+        out = scratch.save(may.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(_verify(num, den), "u long, v long").distinct())
+        scratch.drop(may, sets)
+        return out
 
     votes = shared.filter("sig <> first").groupBy("sig", "first").agg(F.count(F.lit(1)).alias("k"))
     star = votes.groupBy("sig").agg(F.max_by("first", F.struct("k", "first")).alias("v")).select(F.col("sig").alias("u"), "v")
-    links = scratch.save(linked(star))
+    links = linked(star)
     comps = connected_components(links, scratch)
 
     for few in (FEW, None):
@@ -307,16 +366,16 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             break
         index = open_.selectExpr("cell", "cast(pmod(xxhash64(sig), blocks) as int) as block", "false as asks", "sig", "comp")
         asks = open_.filter("comp <> own").selectExpr("cell", "explode(sequence(0, blocks - 1)) as block", "true as asks", "sig", "comp")
-        both = index.unionByName(asks).join(sets.select("sig", "point"), "sig").select("cell", "block", "asks", "sig", "comp", "point")
+        both = index.unionByName(asks).join(points.select("sig", "point"), "sig").select("cell", "block", "asks", "sig", "comp", "point")
         both = both.repartition("cell", "block").sortWithinPartitions("cell", "block", "asks")
         pairs = both.mapInArrow(_search(num, den, few), "u long, v long")
         pairs = scratch.save(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-        more = scratch.save(linked(pairs))
+        more = linked(pairs)
         if not more.isEmpty():
             links = links.unionByName(more)
             comps = connected_components(links, scratch)
         scratch.drop(pairs, open_)
-    scratch.drop(sets, shared)
+    scratch.drop(points, shared)
 
     known = comps.select(F.col("node").alias("sig"), "component")
     named = rows.select("id", "n", "sig").join(known, "sig", "left").withColumn("class", F.coalesce("component", "sig"))

@@ -151,3 +151,19 @@ def test_odd_vectors(spark):
     alone = [(i, 0, i, True) for i in (3, 4, 5, 6, 7, 8, 9, 11, 12)]
     assert got == sorted([(1, 4, 1, True), (2, 4, 1, False), (2, 4, 1, False), (10, 4, 1, False), (13, 4, 1, False), *alone])
     assert neardup.near_duplicates(df.filter("false")).collect() == []
+
+
+def test_points_bound_the_overlap_at_every_size():
+    rng = np.random.default_rng(9)
+    for n in (5, 400, 600, 1500, 9000):
+        base = rng.integers(0, 1 << 62, n).astype(np.uint64)
+        a = np.unique(base)
+        near = np.unique(np.concatenate([base[: int(n * 0.95)], rng.integers(0, 1 << 62, n // 20).astype(np.uint64)]))
+        far = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
+        points = [np.concatenate([[len(s)], jaccard.count_vector(s)]).astype(np.int32) for s in (a, near, far)]
+        assert all(p[1:].sum() == p[0] for p in points)
+        groups = min(map(len, points)) - 1
+        folded = [jaccard.fold(p[1:], groups) for p in points]
+        assert np.minimum(folded[0], folded[1]).sum() >= len(np.intersect1d(a, near))
+        assert jaccard.may_link(points[0], points[1], 80, 100) or n < 20
+        assert not jaccard.may_link(points[0], points[2], 80, 100)
