@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 WINDOW = 4
 MASK = 31
 CACHE_CHARS = 4_000_000
-CACHE_WORD_CHARS = 8_000_000
+CACHE_WORD_CHARS = 5_000_000
 _WORD = re.compile(r"[^ \t-\r]+[ \t-\r]*|[ \t-\r]+")
 
 
