@@ -63,24 +63,35 @@ def whole_copies(rows: DataFrame, key: str, number: str, file_order: str, score:
     return kept, gone.select(key, (F.col("_n") - F.col("_k")).alias("dropped"))
 
 
-def link_two_phase(left: DataFrame, right: DataFrame, block: list[str], left_names: tuple[str, str], right_names: tuple[str, str], left_id: str, right_id: str, prefer: list[Column]) -> DataFrame:
+def _first_two(hits: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
+    """Of each key the first two rows with unlike ``name``; two are enough where a row may not be its own partner."""
+    once = hits.withColumn("_k", F.row_number().over(Window.partitionBy(*keys, name).orderBy(*order))).filter("_k = 1")
+    return once.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order, name))).filter("_k <= 2").drop("_k")
+
+
+def link_two_phase(left: DataFrame, right: DataFrame, block: list[str], left_names: tuple[str, str], right_names: tuple[str, str], left_id: str, right_id: str, prefer: list[Column], within: bool = False) -> DataFrame:
     """Rows of both sides about the same pair of players: by the key of both surnames, else by words that both names share.
 
-    ``block`` columns must be equal. Of several partners the first by ``prefer`` stays.
+    ``block`` columns must be equal. Of several partners the first by ``prefer`` stays. ``within``: both sides are the same
+    rows, and none is its own partner. A row meets the two best partners of its key or words, not all rows of its block.
     """
     def made(df: DataFrame, names: tuple[str, str]) -> DataFrame:
         one, two = C.fold_name(F.col(names[0])), C.fold_name(F.col(names[1]))
         return df.withColumn("_key", C.pair_key(C.surname(one), C.surname(two))).withColumn("_one", C.tokens(one)).withColumn("_two", C.tokens(two))
 
+    def words(df: DataFrame, one: str, two: str) -> DataFrame:
+        return df.withColumn("_x", F.explode(one)).withColumn("_y", F.explode(two)).drop("_key", "_one", "_two")
+
     a = made(left, left_names).select(*block, left_id, "_key", "_one", "_two")
-    b = made(right, right_names)
-    b = b.select(*block, right_id, F.col("_key"), F.col("_one").alias("_r1"), F.col("_two").alias("_r2"), *[c.alias(f"_p{i}") for i, c in enumerate(prefer)])
-    exact = a.join(b, [*block, "_key"]).withColumn("phase", F.lit(1))
-    rest = a.join(exact.select(left_id).distinct(), left_id, "left_anti").join(b.drop("_key"), block)
-    loose = rest.filter(C.loose_match(F.col("_one"), F.col("_two"), F.col("_r1"), F.col("_r2"))).withColumn("phase", F.lit(2))
-    both = exact.drop("_key").unionByName(loose.drop("_key"))
-    w = Window.partitionBy(left_id).orderBy(*[F.col(f"_p{i}").asc_nulls_last() for i in range(len(prefer))], right_id)
-    return both.withColumn("_n", F.row_number().over(w)).filter("_n = 1").select(left_id, right_id, "phase")
+    order = [F.col(f"_p{i}").asc_nulls_last() for i in range(len(prefer))]
+    b = made(right, right_names).select(*block, right_id, "_key", "_one", "_two", *[c.alias(f"_p{i}") for i, c in enumerate(prefer)])
+    other = F.col(left_id) != F.col(right_id) if within else F.lit(True)
+    exact = a.drop("_one", "_two").join(_first_two(b.drop("_one", "_two"), [*block, "_key"], order, right_id), [*block, "_key"]).filter(other).drop("_key").withColumn("phase", F.lit(1))
+    rest = words(a.join(exact.select(left_id).distinct(), left_id, "left_anti"), "_one", "_two")
+    either = words(b, "_one", "_two").unionByName(words(b, "_two", "_one"))
+    loose = rest.join(_first_two(either, [*block, "_x", "_y"], order, right_id), [*block, "_x", "_y"]).filter(other).drop("_x", "_y").withColumn("phase", F.lit(2))
+    w = Window.partitionBy(left_id).orderBy(*order, right_id)
+    return exact.unionByName(loose).withColumn("_n", F.row_number().over(w)).filter("_n = 1").select(left_id, right_id, "phase")
 
 
 def link_unique(left: DataFrame, right: DataFrame, block: list[str], needle: Column, hay: Column, left_id: str, right_id: str) -> DataFrame:

@@ -149,6 +149,19 @@ def linkage_two_phase(spark, d):
     return R.link_two_phase(left, right, ["p_size"], ("p_name", "p_type"), ("one", "two"), "p_partkey", "partner", [-F.col("p_retailprice")])
 
 
+@query(f"""with n as ({_NAMES}), b as (select p_partkey as partner, p_size, p_retailprice, t1 as r1, t2 as r2, key from n),
+keyed as (select n.p_partkey, partner, 1 as phase, b.p_retailprice from n join b on n.p_size = b.p_size and n.key = b.key and partner <> n.p_partkey),
+loose as (select n.p_partkey, partner, 2, b.p_retailprice from n join b on n.p_size = b.p_size and partner <> n.p_partkey where n.p_partkey not in (select p_partkey from keyed)
+  and (list_has_any(list_filter(t1, lambda t: length(t) >= 3), list_filter(r1, lambda t: length(t) >= 3)) and list_has_any(t2, r2)
+    or list_has_any(list_filter(t1, lambda t: length(t) >= 3), r2) and list_has_any(t2, list_filter(r1, lambda t: length(t) >= 3))))
+select p_partkey, partner, phase from (select *, row_number() over (partition by p_partkey order by p_retailprice desc, partner) as k from (select * from keyed union all select * from loose)) where k = 1""")
+def linkage_two_phase_whole(spark, d):
+    """Every part against all other parts; linkage_two_phase takes slices of both sides, as its SQL does."""
+    t = table(spark, d, "part").select("p_partkey", "p_size", "p_name", "p_type", "p_retailprice")
+    right = t.select(F.col("p_partkey").alias("partner"), "p_size", F.col("p_name").alias("one"), F.col("p_type").alias("two"), "p_retailprice")
+    return R.link_two_phase(t, right, ["p_size"], ("p_name", "p_type"), ("one", "two"), "p_partkey", "partner", [-F.col("p_retailprice")], within=True)
+
+
 @query("""with a as (select p_partkey, p_brand, p_size % 5 as s, string_split(p_name, ' ')[1] as needle from part where p_partkey % 10 = 0),
 b as (select p_partkey as partner, p_brand, p_size % 5 as s, p_name from part where p_partkey % 10 between 1 and 5),
 h as (select p_partkey, partner, count(*) over (partition by p_partkey) as n from a join b using (p_brand, s) where length(needle) > 0 and contains(p_name, needle))
