@@ -101,6 +101,21 @@ def link_unique(left: DataFrame, right: DataFrame, block: list[str], needle: Col
     return hits.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(left_id))).filter("_n = 1").select(left_id, right_id)
 
 
+def link_unique_within(rows: DataFrame, block: list[str], needle: Column, hay: Column, id_col: str, partner: str) -> DataFrame:
+    """``link_unique`` of rows with all others of the same table; ids must be unique.
+
+    Different needles meet different hays with the number of rows, the least and the greatest id. A row that hits itself has one
+    partner if two rows hit: the one of them that it isn't.
+    """
+    t = rows.select(*block, F.col(id_col).alias("_id"), needle.alias("_needle"), hay.alias("_hay")).filter(F.col("_id").isNotNull())
+    hays = t.groupBy(*block, "_hay").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_a"), F.max("_id").alias("_b"))
+    hits = t.select(*block, "_needle").distinct().join(hays, block).filter((F.length("_needle") > 0) & F.col("_hay").contains(F.col("_needle")))
+    hits = hits.groupBy(*block, "_needle").agg(F.sum("_n").alias("_n"), F.min("_a").alias("_a"), F.max("_b").alias("_b"))
+    own = F.coalesce(F.col("_hay").contains(F.col("_needle")), F.lit(False)).cast("int")
+    one = t.withColumn("_own", own).join(hits, [*block, "_needle"]).filter("_n - _own = 1")
+    return one.select(F.col("_id").alias(id_col), F.when(F.col("_a") == F.col("_id"), F.col("_b")).otherwise(F.col("_a")).alias(partner))
+
+
 def tiers(names: DataFrame, key: str, **parts: DataFrame) -> DataFrame:
     """The name of the first part, in the order given, that has a row's key; ``none`` if no part has it."""
     out, tier = names, F.lit("none")

@@ -172,6 +172,16 @@ def linkage_unique_only(spark, d):
     return R.link_unique(t.filter("p_partkey % 10 = 0"), right, ["p_brand", "s"], F.split("p_name", " ")[0], F.col("p_name"), "p_partkey", "partner")
 
 
+@query("""with t as (select p_partkey, p_brand, p_size % 5 as s, p_name, string_split(p_name, ' ')[1] as needle from part),
+h as (select a.p_partkey, b.p_partkey as partner, count(*) over (partition by a.p_partkey) as n from t a join t b on a.p_brand = b.p_brand and a.s = b.s and a.p_partkey <> b.p_partkey
+  where length(a.needle) > 0 and contains(b.p_name, a.needle))
+select p_partkey, partner from h where n = 1""")
+def linkage_unique_whole(spark, d):
+    """Every part against all other parts; linkage_unique_only takes slices of both sides, as its SQL does."""
+    t = table(spark, d, "part").withColumn("s", F.col("p_size") % 5)
+    return R.link_unique_within(t, ["p_brand", "s"], F.split("p_name", " ")[0], F.col("p_name"), "p_partkey", "partner")
+
+
 @query("""with u as (select conv_id, text as ask, row_number() over (partition by conv_id order by turn) as rn from conversations where role = 'user'),
 a as (select conv_id, text as reply, row_number() over (partition by conv_id order by turn) as rn from conversations where role = 'assistant')
 select conv_id, rn::INT as rn, length(ask) as asked, length(reply) as replied from u join a using (conv_id, rn)""")

@@ -45,3 +45,16 @@ def test_two_phase_whole(spark, parts):
     got = {r.p_partkey: (r.partner, r.phase) for r in plans.QUERIES["linkage_two_phase_whole"](spark, d).collect()}
     assert got == want
     assert {p for _, p in want.values()} == {1, 2} and any(i % 20 > 6 for i in want) and any(j % 20 > 6 for j, _ in want.values())
+
+
+def test_unique_whole(spark, parts):
+    d, rows = parts
+    want = {}
+    for i, name, brand, _, size, _ in rows:
+        needle = (name or "").split(" ")[0]
+        hits = [r[0] for r in rows if r[0] != i and r[2] == brand and r[4] % 5 == size % 5 and needle and needle in (r[1] or "")]
+        if len(hits) == 1:
+            want[i] = hits[0]
+    got = {r.p_partkey: r.partner for r in plans.QUERIES["linkage_unique_whole"](spark, d).collect()}
+    assert got == want
+    assert any(i % 10 > 5 for i in want) and any(j % 10 > 5 for j in want.values())
