@@ -148,6 +148,16 @@ def edit_distance(spark, d):
     return t.select("doc_id", F.levenshtein(F.substring("x", 1, 40), F.substring("x", 21, 40)).cast("long").alias("distance"))
 
 
+@query()
+def edit_distance_words(spark, d):
+    """Distances of adjacent words over each document's whole text: how many pairs, their sum and the largest."""
+    w, n = F.col("w"), F.greatest(F.size("w") - 1, F.lit(0))
+    t = table(spark, d, "documents").select("doc_id", F.filter(F.split("text", r"\s+"), lambda x: F.length(x) > 0).alias("w")).filter("w is not null")
+    t = t.select("doc_id", F.zip_with(F.slice(w, 1, n), F.slice(w, 2, n), lambda a, b: F.levenshtein(a, b)).alias("x"))
+    total = F.aggregate("x", F.lit(0).cast("long"), lambda s, v: s + v)
+    return t.select("doc_id", F.size("x").cast("long").alias("pairs"), total.alias("distance"), F.array_max("x").cast("long").alias("furthest"))
+
+
 def _detected(spark, d):
     w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
     n = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count(F.lit(1)).alias("rally"))
