@@ -5,6 +5,11 @@ ordered by it, so that near vectors, which agree on most hashes, come to lie clo
 WINDOW vectors before it, are compared in full, and pairs with the cosine asked for are links. Other passes have other planes.
 The links of all passes give the components.
 
+Before hashing a label's mean is taken off, or vectors with a common direction would agree on most hashes whether near or not.
+A pair at the very cosine meets in a pass if it agrees on the hashes that part the label into cells of a window; from that
+each label gets as many passes as find such a pair with probability RECALL, PASSES at least. This takes vectors about their mean
+for spread evenly; in groups of near but unlinked vectors it can be less.
+
 A window is bounded, so in a dense group it can't see all links. Therefore the links themselves are counted afterwards within
 each component, block against block, where every pair is looked at; a link is lost only if no pass and no other vector joins
 its two ends. Vectors that are equal are one vector with a number from the start.
@@ -13,6 +18,7 @@ its two ends. Vectors that are equal are one vector with a number from the start
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +30,7 @@ from .components import connected_components
 from .scratch import Scratch
 
 PASSES = 8
+RECALL = 0.99
 BITS = 48
 WINDOW = 128
 BLOCK = 512
@@ -35,10 +42,42 @@ def _planes(dim: int, seed: int) -> np.ndarray:
 
 
 def projection_keys(x: np.ndarray, seed: int) -> np.ndarray:
-    """The signs of BITS random projections of unit vectors as one number, the first plane's the highest."""
+    """The signs of BITS random projections of vectors as one number, the first plane's the highest."""
     return ((x @ _planes(x.shape[1], seed)) >= 0) @ (np.int64(1) << np.arange(BITS - 1, -1, -1, dtype=np.int64))
 
 
+#: Sums of components are whole multiples of 1 / SCALE, so that they don't depend on the order of rows.
+SCALE = 1 << 28
+
+
+def passes_for(n: int, shared: float, cosine: float, window: int, least: int, recall: float = RECALL) -> int:
+    """Passes that find an isolated pair at ``cosine`` among ``n`` vectors whose mean has the squared length ``shared``."""
+    bits = math.log2(max(1.0, n / window))
+    spread = max(1 - shared, 1e-9)
+    turned = max(-1.0, 1 - (1 - cosine) / spread)
+    meets = (1 - math.acos(min(1.0, turned)) / math.pi) ** bits
+    if meets >= recall:
+        return least
+    # as many passes as there are windows cost what comparing all pairs costs
+    most = max(least, math.ceil(n / window))
+    return most if meets < 1e-12 else min(most, max(least, math.ceil(math.log(1 - recall) / math.log1p(-meets))))
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """By label and length: how many unit vectors a batch has, and each place's sum."""
+    for batch in batches:
+        found: dict[tuple[str, int], list[bytes]] = {}
+        for label, dim, unit in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            found.setdefault((label, dim), []).append(unit)
+        cols: list[list] = [[], [], [], [], []]
+        for (label, dim), units in found.items():
+            total = np.rint(_matrix(units) * SCALE).astype(np.int64).sum(axis=0)
+            for c, v in zip(cols, ([label] * dim, [dim] * dim, range(dim), total.tolist(), [len(units)] * dim)):
+                c += v
+        kinds = (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["label", "dim", "at", "total", "n"])
+
+
 def _unit(label, vector) -> tuple[bytes, np.ndarray] | None:
     """The vector's name (equal for equal label and vector) and the vector at length 1; None if it links with nothing."""
     if label is None or vector is None or not len(vector) or any(v is None for v in vector):
@@ -66,22 +105,23 @@ def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if x is None else str(x) for x in batch.column(1).to_pylist()], pa.string()), pa.array(names, pa.binary()), pa.array(units, pa.binary()), pa.array(dims, pa.int32())], ["id", "label", "name", "unit", "dim"])
 
 
-def _keys(passes: int):
+def _keys(cosine: float, window: int, passes: int):
+    """A row for each vector and pass of its label; every row has its label's count and mean."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.binary())
         for batch in batches:
-            dims = np.array(batch.column(2).to_pylist(), np.int64)
-            cols: list[list] = [[], [], [], [], []]
-            for dim in np.unique(dims) if len(dims) else ():
-                at = np.flatnonzero(dims == dim)
-                x = np.stack([np.frombuffer(batch.column(3)[int(i)].as_buffer(), np.float64) for i in at])
-                for k in range(passes):
-                    cols[0] += [batch.column(0)[int(i)].as_py() for i in at]
-                    cols[1] += [f"{batch.column(1)[int(i)].as_py()}/{dim}" for i in at]
-                    cols[2] += [k] * len(at)
-                    cols[3] += projection_keys(x, k).tolist()
-                    cols[4] += [batch.column(3)[int(i)].as_py() for i in at]
-            kinds = (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["rep", "label", "pass", "key", "unit"])
+            groups: dict[tuple[str, int], list[int]] = {}
+            for i, g in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                groups.setdefault(g, []).append(i)
+            for (label, dim), at in groups.items():
+                reps, units = ([batch.column(c)[i].as_py() for i in at] for c in (0, 3))
+                n, total = batch.column(4)[at[0]].as_py(), batch.column(5)[at[0]].as_py()
+                mean = np.array(total, np.float64) / (SCALE * n)
+                x = _matrix(units) - mean if n > window else _matrix(units)
+                for k in range(passes_for(n, float(mean @ mean), cosine, window, passes)):
+                    cols = (reps, [f"{label}/{dim}"] * len(at), [k] * len(at), projection_keys(x, k).tolist(), units)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["rep", "label", "pass", "key", "unit"])
 
     return run
 
@@ -189,7 +229,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     Only vectors of equal, non-null label (and equal length) are compared. Vectors that are null, empty, zero, or hold null or
     non-finite components, and those without a label, have no links and are their own component. Rows that repeat a vector
     are vectors of their own and link; rows that repeat an id count as several vectors and share its component. Extra columns
-    are ignored; an empty table gives an empty one. Ids must be integers; a null id has no component.
+    are ignored; an empty table gives an empty one. Ids must be integers; a null id has no component. ``passes`` is the least
+    number of passes; a large label, or one whose vectors share a direction, gets more.
     """
     spark = vectors.sparkSession
     scratch = scratch or Scratch(spark)
@@ -200,11 +241,16 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     members = scratch.save(members)
     units = usable.join(members.select("name", F.col("rep").alias("id")), ["name", "id"], "left_semi").dropDuplicates(["name"])
     classes = scratch.save(units.select(F.col("id").alias("rep"), "label", "dim", "unit", "name"))
-    total = classes.count()
-
-    keyed = scratch.save(classes.select("rep", "label", "dim", "unit").mapInArrow(_keys(passes), "rep long, label string, pass int, key long, unit binary"))
+    sums = classes.select("label", "dim", "unit").mapInArrow(_sums, "label string, dim int, at int, total long, n long")
+    sums = sums.groupBy("label", "dim", "at").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    sums = sums.groupBy("label", "dim").agg(F.max("n").alias("n"), F.expr("transform(array_sort(collect_list(struct(at, total))), x -> x.total)").alias("total"))
+    sums = scratch.save(sums)
+
+    to_key = classes.select("rep", "label", "dim", "unit").join(sums, ["label", "dim"]).select("rep", "label", "dim", "unit", "n", "total")
+    keyed = scratch.save(to_key.mapInArrow(_keys(cosine, window, passes), "rep long, label string, pass int, key long, unit binary"))
+    total = keyed.count()
     # the order of all passes at once, numbered: places in a task, and after them the tasks before it
-    width = max(1, -(-total * passes // (8 * block)))
+    width = max(1, -(-total // (8 * block)))
     ranged = scratch.save(keyed.repartitionByRange(width, "pass", "label", "key", "rep").sortWithinPartitions("pass", "label", "key", "rep").withColumn("place", F.monotonically_increasing_id()))
     split = ranged.select(F.shiftright("place", 33).alias("part"), (F.col("place").bitwiseAND((1 << 33) - 1)).alias("at"))
     sizes = sorted((r["part"], r["n"]) for r in split.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())
