@@ -167,7 +167,9 @@ class SizeClasses:
         self._reach(n)
         k = int(np.searchsorted(self.low, n, "right")) - 1
         value, place, out = mix(shingles, 13), mix(shingles, 11), []
-        for i in (k, k - 1) if k and self.num * n <= self.den * (self.low[k] - 1) else (k,):
+        for i in range(k, -1, -1):
+            if i < k and self.num * n > self.den * (self.low[i + 1] - 1):
+                break
             groups = self.groups[i]
             at = (place % np.uint64(groups)).astype(np.int64)
             held = np.zeros(groups, np.uint64)
