@@ -4,13 +4,17 @@ Each source gets a target number of words. Whole epochs of the source come first
 the documents whose key -ln(u) / w is smallest, u uniform from a digest of the id and w the document's quality weight
 (Efraimidis and Spirakis: a sample without replacement in which the weight rules the chance to come early).
 
-The prefix sums over a source's keys don't need the source in one task: keys fall into BUCKET-sized ranges, the ranges' sums
-are summed up, and only the range in which the target is reached is sorted.
+The prefix sums over a source's keys don't need the source in one task: keys fall into ranges, the ranges' sums are summed up,
+and only the range in which the target is reached is sorted. A key of weight w is exponential with rate w; ranges are equal in
+exp(-key / 10), in which no weight from 0.1 to 1 puts more than ten times an even share into one range, so ten ranges for every
+BUCKET documents keep each at some BUCKET documents.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
@@ -56,8 +60,13 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return sizes.selectExpr("source", "source_size", "weight", "case when stops then cast(most as double) else weight * level end as target")
 
 
-def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str, scratch: Scratch) -> DataFrame:
-    """The rows of mix_sources() under fixed names, with how often each is taken and a hash of id, source and text."""
+def _bucket(key: str, buckets: str) -> str:
+    return f"cast(least(floor((1 - exp(-{key} / 10)) * {buckets}), {buckets} - 1) as long)"
+
+
+def _planned(docs: DataFrame, id_col: str, text_col: str, source_col: str, scratch: Scratch) -> tuple[DataFrame, DataFrame, int]:
+    """The rows (id, source, size, key, tag) and, for each source, its sums, target, epochs and the range ``edge`` in which
+    what is left of the target is reached, with the words ``base`` before it; and the number of ranges."""
     text = F.col(text_col)
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text).alias("size"), sampling_key(F.col(id_col), quality_weight(text)).alias("key"), F.xxhash64(id_col, source_col, text).alias("tag"))
     rows = scratch.save(rows)
@@ -67,23 +76,23 @@ def _mixed(docs: DataFrame, id_col: str, text_col: str, source_col: str, scratch
     plan = scratch.save(plan.selectExpr("*", "target - epochs * source_size as rest"))
 
     n = sums.agg(F.max("documents")).first()[0] or 1
-    buckets = max(1, -(-n // BUCKET))
-    rows = rows.selectExpr("*", f"cast(least(floor((1 - exp(-key)) * {buckets}), {buckets - 1}) as long) as bucket")
+    buckets = 10 * max(1, -(-n // BUCKET))
+    rows = rows.selectExpr("*", f"{_bucket('key', str(buckets))} as bucket")
     parts = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     parts = parts.selectExpr("source", "bucket", "words", "sum(words) over (partition by source order by bucket rows between unbounded preceding and current row) - words as base")
-    # the range in which the rest of the target is reached: the last that begins below it
+    # the last range that begins below what is left
     at = parts.withColumnRenamed("source", "s").join(plan.select(F.col("source").alias("t"), "rest"), F.expr("s <=> t"))
     at = at.groupBy("s").agg(F.expr("coalesce(max(struct(bucket, base)) filter (where base < rest), min(struct(bucket, base)))").alias("edge")).selectExpr("s", "edge.bucket as edge", "edge.base as base")
     plan = scratch.save(plan.join(at, F.expr("source <=> s"), "left").drop("s").withColumnRenamed("source", "t"))
+    return rows, plan, buckets
 
-    rows = rows.join(plan, F.expr("source <=> t")).drop("t")
-    cols = ["id", "tag", "size", "source", "source_size", "target", "epochs"]
-    edge = rows.filter("bucket = edge").selectExpr("*", "base + sum(size) over (partition by source order by key, id, size rows between unbounded preceding and current row) <= rest as fits")
+
+def _picked(edge: DataFrame, *cols: str) -> DataFrame:
+    """Of the rows in their source's edge, whether each is picked."""
+    edge = edge.selectExpr("*", "base + sum(size) over (partition by source order by key, id, size rows between unbounded preceding and current row) <= rest as fits")
     edge = edge.selectExpr("*", "rest - base - coalesce(sum(case when fits then size end) over (partition by source), 0L) as gap")
     edge = edge.selectExpr("*", "row_number() over (partition by source order by fits, abs(gap - size), key, id, size) as nearest")
-    edge = edge.selectExpr(*cols, "fits or (nearest = 1 and size < 2 * gap) as picked")
-    other = rows.filter("bucket <> edge").selectExpr(*cols, "bucket < edge as picked")
-    return other.unionByName(edge).withColumn("times", F.expr("epochs + case when picked then 1L else 0L end"))
+    return edge.selectExpr(*cols, "fits or (nearest = 1 and size < 2 * gap) as picked")
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", scratch: Scratch | None = None) -> DataFrame:
@@ -94,24 +103,44 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     one more of the last range is taken if that brings ``taken`` nearer to the target: the one that brings it nearest.
     Extra columns are ignored; an empty table gives an empty table.
     """
-    out = _mixed(docs, id_col, text_col, source_col, scratch or Scratch(docs.sparkSession))
-    return out.select(F.col("id").alias(id_col), "size", F.col("source").alias(source_col), "source_size", "target", (F.col("times") * F.col("size")).alias("taken"))
+    rows, plan, _ = _planned(docs, id_col, text_col, source_col, scratch or Scratch(docs.sparkSession))
+    rows = rows.join(plan, F.expr("source <=> t")).drop("t")
+    cols = ["id", "size", "source", "source_size", "target", "epochs"]
+    other = rows.filter("bucket <> edge").selectExpr(*cols, "bucket < edge as picked")
+    out = other.unionByName(_picked(rows.filter("bucket = edge"), *cols))
+    taken = F.expr("(epochs + case when picked then 1L else 0L end) * size")
+    return out.select(F.col("id").alias(id_col), "size", F.col("source").alias(source_col), "source_size", "target", taken.alias("taken"))
 
 
 def repeat_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", scratch: Scratch | None = None) -> DataFrame:
-    """The mix itself: the rows of ``docs``, each as often as it is taken. Rows without words are never taken.
+    """The mix itself: the rows of ``docs``, each as often as it is taken, and no row else. Other columns stay as they are.
 
-    Of rows that are equal in id, source and text one stands for all, with all their repeats.
+    How often a row is taken follows from its source's epochs and edge, so texts are read where they lie; only rows in the
+    edge, some BUCKET for each source, are joined with what was picked there. A null source is a source of its own; rows
+    without words (null, empty or blank texts) are never taken; of rows equal in id, source and text as many are taken as
+    mix_sources() takes, chosen by a hash of all their columns; an empty table gives an empty one.
     """
     scratch = scratch or Scratch(docs.sparkSession)
-    out = _mixed(docs, id_col, text_col, source_col, scratch)
-    plan = out.filter("size > 0 and times > 0").groupBy("id", "tag").agg(F.sum("times").alias("__mix_times"), F.count(F.lit(1)).alias("__mix_rows"))
-    plan = scratch.save(plan.select(F.col("tag").alias("__mix_tag"), "__mix_times", "__mix_rows"))
-    rows = docs.withColumn("__mix_tag", F.xxhash64(id_col, source_col, text_col)).join(plan, "__mix_tag")
-    if not plan.filter("__mix_rows > 1").isEmpty():
-        rows = rows.filter("__mix_rows = 1").unionByName(rows.filter("__mix_rows > 1").dropDuplicates(["__mix_tag"]))
-    rows = rows.withColumn("__mix_time", F.explode(F.sequence(F.lit(1).cast("long"), "__mix_times")))
-    return rows.select(*docs.columns)
+    rows, plan, buckets = _planned(docs, id_col, text_col, source_col, scratch)
+    slim = rows.join(plan, F.expr("source <=> t")).drop("t").filter("bucket = edge")
+    picks = _picked(slim, "tag").groupBy("tag").agg(F.count_if("picked").alias("__mix_picked"), F.count(F.lit(1)).alias("__mix_rows"))
+    picks = scratch.save(picks.withColumnRenamed("tag", "__mix_pick"))
+
+    text = F.col(text_col)
+    marked = docs.filter(text.rlike(WORD)).withColumn("__mix_key", sampling_key(F.col(id_col), quality_weight(text)))
+    marked = marked.withColumn("__mix_bucket", F.expr(_bucket("__mix_key", str(buckets))))
+    small = plan.selectExpr("t as __mix_source", "epochs as __mix_epochs", "edge as __mix_edge")
+    marked = marked.join(small, F.col(source_col).eqNullSafe(F.col("__mix_source")))
+    other = marked.filter("__mix_bucket <> __mix_edge").withColumn("__mix_times", F.expr("__mix_epochs + case when __mix_bucket < __mix_edge then 1L else 0L end"))
+    edge = marked.filter("__mix_bucket = __mix_edge").withColumn("__mix_tag", F.xxhash64(id_col, source_col, text_col)).join(picks, F.expr("__mix_tag = __mix_pick"))
+    once = edge.filter("__mix_rows = 1").withColumn("__mix_times", F.expr("__mix_epochs + __mix_picked"))
+    parts = [other, once]
+    if not picks.filter("__mix_rows > 1").isEmpty():
+        order = Window.partitionBy("__mix_tag").orderBy(F.xxhash64(F.to_json(F.struct(*docs.columns))))
+        many = edge.filter("__mix_rows > 1").withColumn("__mix_nth", F.row_number().over(order))
+        parts.append(many.withColumn("__mix_times", F.expr("__mix_epochs + case when __mix_nth <= __mix_picked then 1L else 0L end")))
+    out = [p.filter("__mix_times > 0").withColumn("__mix_time", F.explode(F.sequence(F.lit(1).cast("long"), "__mix_times"))).select(*docs.columns) for p in parts]
+    return reduce(DataFrame.unionByName, out)
 
 
 ORACLE_SQL = """
@@ -131,9 +160,9 @@ level as (select (total - stopped)::DOUBLE / rest as level from stopping where n
 targets as (select source, source_size, case when stops then most::DOUBLE else weight * (select level from level) end as target from stopping),
 plan as (select *, case when source_size > 0 then floor(target / source_size)::BIGINT else 0 end as epochs from targets),
 counted as (select source, count(*) as n from base group by source),
-buckets as (select greatest(1, ceil(max(n) / 4096.0))::BIGINT as k from counted),
+buckets as (select 10 * greatest(1, ceil(max(n) / 4096.0))::BIGINT as k from counted),
 placed as (select b.*, p.source_size, p.target, p.epochs, p.target - p.epochs * p.source_size as rest,
-    least(floor((1 - exp(-b.key)) * k), k - 1)::BIGINT as bucket
+    least(floor((1 - exp(-b.key / 10)) * k), k - 1)::BIGINT as bucket
   from base b join plan p on b.source is not distinct from p.source, buckets),
 parts as (select source, bucket, any_value(rest) as rest, sum(size) as words from placed group by source, bucket),
 based as (select *, sum(words) over (partition by source order by bucket rows between unbounded preceding and current row) - words as base from parts),

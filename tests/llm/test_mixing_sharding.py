@@ -132,5 +132,20 @@ def test_pipeline_stages_on_odd_documents(spark, odd, none):
         for _, stage in corpus_pipeline.STAGES:
             stage(spark, df, "").count()
     kept = corpus_pipeline.near_copies(spark, odd, "").collect()
-    assert sorted(str(r.doc_id) for r in kept) == sorted(["1", "2", "3", "4", "5", "6", "7", "8", "10", "None"])
+    assert sorted(str(r.doc_id) for r in kept) == sorted(["1", "2", "3", "4", "5", "6", "7", "8", "10"])
     assert corpus_pipeline.near_copies(spark, odd, "").filter(F.col("doc_id") == 6).count() == 1
+
+
+def test_repeats_are_those_of_the_mix(spark, monkeypatch):
+    """Rows equal in id, source and text but not in other columns are all taken, as often as the mix says."""
+    monkeypatch.setattr(mixing, "BUCKET", 4)
+    rows = [(i % 7, f"w{i % 7} " * (i % 7), "ab"[i % 7 % 2], i) for i in range(60)] + [(100 + i, "one two three", "c", 100 + i) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, other int")
+    taken, got = Counter(), Counter()
+    for r in mixing.mix_sources(df).collect():
+        taken[r.doc_id] += r.taken
+    for r in mixing.repeat_rows(df).collect():
+        got[r.doc_id] += len(r.text.split())
+    assert {k: v for k, v in taken.items() if v} == dict(got)
+    epochs = Counter(r.other for r in mixing.repeat_rows(df).collect())
+    assert all(max(epochs[i] for i in ids) - min(epochs[i] for i in ids) <= 1 for k in range(1, 7) if (ids := range(k, 60, 7)))
