@@ -2,9 +2,9 @@
 
 Every language has probabilities over the letter pieces of a fixed public vocabulary. A word's probability is the sum over
 all its segmentations into pieces (the forward algorithm), not that of the best one; a text's is the product over its words.
-Words are runs of letters in lower case, cut after every SPAN letters. The pieces' probabilities are fitted by expectation
-maximisation over all segmentations (forward and backward) of the words of a bounded sample: up to MAX_DOCS documents of
-each language by a hash of the id, and their MAX_WORDS most frequent words.
+Words are runs of letters in lower case; a run of more than SPAN letters is scored whole, as words of SPAN letters one after the
+other. The pieces' probabilities are fitted by expectation maximisation over all segmentations (forward and backward) of all
+words of a bounded sample: some MAX_DOCS documents of each language by a hash of the id.
 """
 
 from __future__ import annotations
@@ -19,16 +19,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .sampling import hash_limit
+
 SPAN = 24
-MAX_DOCS = 4000
-MAX_WORDS = 30_000
+MAX_DOCS = 2000
 ROUNDS = 3
-_LETTERS = re.compile(r"[^\W\d_]{1,%d}" % SPAN)
+_RUNS = re.compile(r"[^\W\d_]+")
 
 
 def letter_words(text: str | None) -> list[str]:
-    """Runs of letters in lower case, SPAN letters at most."""
-    return _LETTERS.findall(text.lower()) if text else []
+    """Runs of letters in lower case, cut after every SPAN letters."""
+    out = []
+    for run in _RUNS.findall(text.lower()) if text else ():
+        if len(run) <= SPAN and run.isalpha():
+            out.append(run)
+            continue
+        # \w has numerals that are neither letters nor decimal digits, such as superscripts, fractions and Roman numerals
+        for part in "".join(c if c.isalpha() else " " for c in run).split():
+            out += [part[i : i + SPAN] for i in range(0, len(part), SPAN)]
+    return out
 
 
 def vocabulary(path: str) -> dict[str, int]:
@@ -140,19 +149,18 @@ def train(words: dict[str, dict[str, int]], pieces: dict[str, int], prior: dict[
     return LanguageModel(langs, pieces, p, np.log(np.array([prior[x] for x in langs], np.float64)) if langs else np.zeros(0))
 
 
-def fit_languages(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, lang_col: str, max_docs: int = MAX_DOCS, max_words: int = MAX_WORDS) -> LanguageModel:
+def fit_languages(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, lang_col: str, max_docs: int = MAX_DOCS) -> LanguageModel:
     """A model learnt from the texts and non-null languages of ``docs``."""
     docs = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     n = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}
     pieces = vocabulary(tokenizer)
     if not n:
         return train({}, pieces, {})
-    shares = F.create_map(*[F.lit(x) for lang, k in n.items() for x in (lang, min(1_000_000, max_docs * 1_000_000 // k))])
-    sample = docs.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < shares[F.col("lang")])
+    limits = F.create_map(*[F.lit(x) for lang, k in n.items() for x in (lang, hash_limit(k, max_docs))])
+    sample = docs.filter(F.xxhash64("id") <= limits[F.col("lang")])
     counts = sample.select("lang", "text").mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     words: dict[str, dict[str, int]] = {}
-    rank = counts.selectExpr("*", "row_number() over (partition by lang order by n desc, word) as k").filter(F.col("k") <= max_words)
-    for r in rank.collect():
+    for r in counts.orderBy("lang", "word").collect():
         words.setdefault(r["lang"], {})[r["word"]] = r["n"]
     words = {k: v for k, v in words.items() if v}
     return train(words, pieces, {k: float(n[k]) for k in words})
@@ -232,7 +240,9 @@ def predict_languages(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", t
 
     Learns from rows that aren't held out (crc32 of the id as text, mod 4, is 2) unless a model is given; predicts from the
     whole text alone. A text that is null or has no letter, and any text when no row can be learnt from, is ``und`` with
-    score 0. A null id isn't held out. Ties go to the first language by name. Extra columns are ignored.
+    score 0. A letter is one by Unicode, so numerals alone are ``und``. Texts and words of any length are scored whole. A null id
+    isn't held out. Ties go to the first language by name. Rows that repeat are rows of their own; extra columns are ignored,
+    whatever their names; an empty table gives an empty one.
     """
     if model is None:
         model = fit_languages(docs.filter(~held_out(F.col(id_col))), tokenizer, id_col, text_col, lang_col)
