@@ -1,8 +1,9 @@
 """MPEG audio columns: reading any stream of Layer I, II or III frames, and a stream that carries bytes.
 
 The reader finds frame headers by resynchronising (a header counts if the next frame, or the end, follows where it says),
-steps over ID3v2, ID3v1 and APE tags, reads Xing/Info and VBRI tables, checks the CRC of protected frames and gives exact
-durations (samples over sample rate) and the byte offset of every frame.
+steps over ID3v2, ID3v1 and APE tags, reads Xing/Info and VBRI tables, checks the CRC of protected frames (Layers I and III;
+what Layer II protects depends on its allocation tables and is not checked) and gives exact durations (samples over sample rate)
+and the byte offset of every frame. A tag at the end is one only where no frame reaches: frames may carry any bytes.
 
 The writer lays a payload out as MPEG-2 Layer III frames of 576 samples at 16 kHz, 144 kbit/s: 648 bytes with header, CRC, an
 empty side information (so that a decoder plays silence) and 576 payload bytes as ancillary data, one for each sample. Before
@@ -93,6 +94,7 @@ class Stream:
     """What parse() finds. ``offsets`` are of audio frames; the frame with the variable-bitrate table is none."""
 
     tags: dict[str, str] = field(default_factory=dict)
+    tail: int = 0  # bytes of the tags at the end
     table: dict[str, object] = field(default_factory=dict)
     offsets: list[int] = field(default_factory=list)
     sizes: list[int] = field(default_factory=list)
@@ -129,6 +131,34 @@ def _id3v2(data: bytes, tags: dict[str, str]) -> int:
     return end + (10 if data[5] & 16 else 0)
 
 
+def _tags_at_end(data: bytes) -> list[int]:
+    """Where an APE tag, an ID3v1 tag or both may begin that end the stream: the longest first."""
+    end, starts = len(data), []
+    if end >= 128 and data[end - 128 : end - 125] == b"TAG":
+        end -= 128
+        starts.append(end)
+    if end >= 32 and data[end - 32 : end - 24] == b"APETAGEX":
+        start = end - int.from_bytes(data[end - 20 : end - 16], "little") - (32 if data[end - 9] & 0x80 else 0)
+        if 0 <= start <= end - 32:
+            starts.insert(0, start)
+    return starts
+
+
+def _id3v1(data: bytes, tags: dict[str, str]) -> None:
+    end = len(data) - 128
+    if end >= 0 and data[end : end + 3] == b"TAG":
+        for name, a, b in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93), ("year", 93, 97)):
+            if text := data[end + a : end + b].split(b"\0")[0].decode("latin-1").strip():
+                tags[name] = text
+
+
+def _allocation(last: int, h: Header) -> int:
+    """Bytes of a Layer I frame's bit allocation, from the header's last byte: four bits for each subband of each channel,
+    one channel's alone from the bound of joint stereo on."""
+    bound = 4 * ((last >> 4 & 3) + 1) if last >> 6 == 1 else 32
+    return 16 if h.channels == 1 else (bound + 32) // 2
+
+
 def _vbr(frame: bytes, h: Header) -> dict[str, object]:
     """The Xing, Info or VBRI table in a frame's body, if it holds one."""
     at = 4 + h.side + (2 if h.protected and frame[4 + h.side : 8 + h.side] not in (b"Xing", b"Info") else 0)
@@ -153,13 +183,7 @@ def parse(data: bytes) -> Stream:
     """All frames, tags and tables of a stream; bytes that belong to none are skipped and counted. Any input is read."""
     out = Stream()
     at, end = _id3v2(data, out.tags), len(data)
-    if end >= 128 and data[end - 128 : end - 125] == b"TAG":
-        end -= 128
-        for name, a, b in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93), ("year", 93, 97)):
-            if text := data[end + a : end + b].split(b"\0")[0].decode("latin-1").strip():
-                out.tags[name] = text
-    if end >= 32 and data[end - 32 : end - 24] == b"APETAGEX":
-        end = max(at, end - int.from_bytes(data[end - 20 : end - 16], "little") - (32 if data[end - 9] & 0x80 else 0))
+    tail = _tags_at_end(data)
     known: dict[bytes, Header | None] = {}
     checks: dict[bytes, int] = {}
     in_step, seconds = False, {}
@@ -172,27 +196,27 @@ def parse(data: bytes) -> Stream:
             known[b] = _header(int.from_bytes(b, "big")) if len(b) == 4 else None
         return known[b]
 
-    while at + 4 <= end:
+    while at + 4 <= end and at not in tail:
         h = header(at)
         # out of step a header counts only if a like one, or the end, follows where it says
         if h and not in_step:
             after = at + h.size
             g = header(after) if after + 4 <= end else None
-            if not (after == end or g and (g.version, g.layer, g.rate) == (h.version, h.layer, h.rate)):
+            if not (after == end or after in tail or g and (g.version, g.layer, g.rate) == (h.version, h.layer, h.rate)):
                 h = None
         if h is None or at + h.size > end:
             if in_step:
                 out.resyncs += 1
                 in_step = False
             new = data.find(b"\xff", at + 1, end)
-            new = end if new < 0 else new
+            new = min([end if new < 0 else new, *(t for t in tail if t > at)])
             out.skipped += new - at
             at = new
             continue
         in_step = True
-        if h.protected and h.layer == 3:
+        if h.protected and h.layer != 2:
             out.protected += 1
-            told = data[at + 2 : at + 6 + h.side]
+            told = data[at + 2 : at + 6 + (h.side if h.layer == 3 else _allocation(data[at + 3], h))]
             if told not in checks:
                 if len(checks) > 4096:
                     checks.clear()
@@ -206,7 +230,11 @@ def parse(data: bytes) -> Stream:
             out.headers.append(h)
             seconds[h.rate] = seconds.get(h.rate, 0) + h.samples
         at += h.size
-    out.skipped += max(0, end - at)
+    if at in tail:
+        out.tail = end - at
+        _id3v1(data, out.tags)
+    else:
+        out.skipped += max(0, end - at)
     out.duration = sum((Fraction(n, rate) for rate, n in seconds.items()), Fraction(0))
     return out
 
@@ -266,7 +294,11 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each row's id, ``n_bytes`` of its text and the ``media`` that carries it. A null text is stored as an empty one."""
+    """Each row's id, ``n_bytes`` of its text and the ``media`` that carries it. A null text is stored as an empty one.
+
+    Texts are stored whole, however long; rows that repeat and null ids pass as they are, equal texts give equal media; other
+    columns are left out, whatever their names; an empty table gives an empty one.
+    """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_store, f"id {rows.schema['id'].dataType.simpleString()}, n_bytes long, media binary").withColumnRenamed("id", id_col)
 
@@ -307,6 +339,9 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for x in batch.column(2):
             media = x.as_py()
+            if media is None:
+                rows.append((None,) * 6)
+                continue
             stream = parse(media)
             payload = read_payload(media, stream)
             rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), describe(stream)))
@@ -316,7 +351,11 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def media_digests(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Reads the stored media back: digests of payload and media, and the features of the stream."""
+    """Reads the stored media back: digests of payload and media, and the features of the stream.
+
+    A null media cell gives nulls; bytes that are no MPEG audio, an empty cell too, give an empty payload. Rows that repeat
+    and null ids pass as they are; other columns are left out; an empty table gives an empty one.
+    """
     rows = stored.select(F.col(id_col).alias("id"), "n_bytes", "media")
     kind = rows.schema["id"].dataType.simpleString()
     out = rows.mapInArrow(_digest, f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
