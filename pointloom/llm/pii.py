@@ -5,9 +5,11 @@ token of context. A region is cut into atoms (runs of ASCII letters and digits,
 Every span of up to MAX_ATOMS atoms is a candidate for every type, scored as a whole by its shape; the dynamic programme over
 the atoms picks spans and types together. The score of a region's empty labelling is 0, so regions are independent.
 
-The field is fitted by likelihood on a bounded sample of regions (MAX_DOCS documents, MAX_REGIONS different shapes) that are
-labelled by the base patterns and by SEEDS, and decoded on every whole text. Base spans always stay; the field's spans are
-added where they touch no base span.
+The field is fitted by likelihood on a bounded sample of regions that are labelled by the base patterns and by SEEDS: of some
+MAX_DOCS documents, for each set of kinds that a region holds, PER_LABEL different shapes in the order of a hash, so that rare
+kinds and rare shapes have their part. Regions are cut at white space into parts of PART characters there; a longer part without
+white space isn't used to fit. Decoding takes every whole text. Base spans always stay; the field's spans are added where they
+touch no base span.
 """
 
 from __future__ import annotations
@@ -15,18 +17,25 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .sampling import in_sample
+
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret")
 MAX_ATOMS = 16
 MAX_DOCS = 20_000
-MAX_REGIONS = 300
+PER_LABEL = 100
+PART = 200
+#: Boundaries scored at a time, and scored spans that a worker holds.
+STEP, HELD = 512, 100_000
 
 # The base patterns.
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -132,6 +141,7 @@ class SemiMarkov:
 
     def __init__(self, weights: np.ndarray | None = None):
         self.weights = np.zeros((len(NAMES), len(KINDS))) if weights is None else weights
+        self.known: dict[tuple[str, str, str], tuple[float, int]] = {}
 
     @staticmethod
     def candidates(text: str, start: int, end: int) -> tuple[list[int], list[tuple[int, int]], np.ndarray]:
@@ -143,21 +153,45 @@ class SemiMarkov:
         return bounds, spans, np.array(rows, np.float64).reshape(-1, len(NAMES))
 
     def decode(self, text: str, start: int, end: int) -> list[tuple[int, int, str]]:
-        bounds, spans, x = self.candidates(text, start, end)
-        scores = x @ self.weights
-        kind, score = scores.argmax(axis=1).tolist(), scores.max(axis=1).tolist() if len(spans) else []
-        best, back, at = [0.0] * len(bounds), [-1] * len(bounds), 0
-        for b in range(1, len(bounds)):
-            best[b] = best[b - 1]
-            while at < len(spans) and spans[at][1] == b:
-                if (s := best[spans[at][0]] + score[at]) > best[b]:
-                    best[b], back[b] = s, at
-                at += 1
+        """The labelling with the highest score. Spans are scored STEP boundaries at a time, and those met before aren't scored
+        again, so that a long region costs memory by its atoms alone."""
+        bounds = [m.start() for m in _ATOM.finditer(text, start, end)] + [end]
+        space = [text[b].isspace() for b in bounds[:-1]]
+        best, back = [0.0] * len(bounds), [(-1, 0)] * len(bounds)
+        known = self.known
+        for first in range(1, len(bounds), STEP):
+            if len(known) > HELD:
+                known.clear()
+            spans, fresh = [], {}
+            for b in range(first, min(first + STEP, len(bounds))):
+                if space[b - 1]:
+                    continue
+                j = bounds[b]
+                for a in range(max(0, b - MAX_ATOMS), b):
+                    if not space[a]:
+                        i = bounds[a]
+                        # all that features() looks at
+                        key = (text[max(0, i - 2) : i], text[i:j], text[j : j + 1])
+                        spans.append((a, b, key))
+                        if key not in known and key not in fresh:
+                            fresh[key] = (i, j)
+            if fresh:
+                scores = np.array([features(text, i, j) for i, j in fresh.values()], np.float64) @ self.weights
+                known.update(zip(fresh, zip(scores.max(axis=1).tolist(), scores.argmax(axis=1).tolist())))
+            at = 0
+            for b in range(first, min(first + STEP, len(bounds))):
+                best[b] = best[b - 1]
+                while at < len(spans) and spans[at][1] == b:
+                    a, _, key = spans[at]
+                    score, kind = known[key]
+                    if (s := best[a] + score) > best[b]:
+                        best[b], back[b] = s, (a, kind)
+                    at += 1
         out, b = [], len(bounds) - 1
         while b:
-            if back[b] >= 0 and best[b] > best[b - 1]:
-                a = spans[back[b]][0]
-                out.append((bounds[a], bounds[b], KINDS[kind[back[b]]]))
+            a, kind = back[b]
+            if a >= 0 and best[b] > best[b - 1]:
+                out.append((bounds[a], bounds[b], KINDS[kind]))
                 b = a
             else:
                 b -= 1
@@ -169,8 +203,7 @@ class SemiMarkov:
         for text in texts:
             bounds, spans, x = self.candidates(text, 0, len(text))
             where, gold, last = {(bounds[a], bounds[b]): n for n, (a, b) in enumerate(spans)}, np.zeros((len(spans), len(KINDS))), 0
-            own = sorted([*base_spans(text), *((m.start(), m.end(), "secret") for m in SEEDS.finditer(text))], key=lambda s: (s[0], -s[1]))
-            for i, j, k in own:
+            for i, j, k in gold_spans(text):
                 if i >= last and (i, j) in where:
                     gold[where[i, j], KINDS.index(k)], last = 1, j
             if spans:
@@ -182,6 +215,7 @@ class SemiMarkov:
                 slope += x.T @ (gold - self._expected(n, spans, x @ self.weights))
             square += slope**2
             self.weights = self.weights + rate * slope / np.sqrt(square)
+        self.known.clear()
         return self
 
     @staticmethod
@@ -210,21 +244,43 @@ class SemiMarkov:
         return np.exp(scores + base[:, None])
 
 
+def _parts(region: str, size: int = PART) -> Iterator[str]:
+    """A region cut at white space into parts of ``size`` characters at most; longer ones are left out."""
+    part = ""
+    for piece in re.findall(r"\s*\S+", region):
+        if part and len(part) + len(piece) > size:
+            yield part.strip()
+            part = ""
+        if len(piece.strip()) <= size:
+            part += piece
+        elif part:
+            yield part.strip()
+            part = ""
+    if part:
+        yield part.strip()
+
+
+def gold_spans(text: str) -> list[tuple[int, int, str]]:
+    """What the base patterns and SEEDS find, by start, the longest first."""
+    return sorted([*base_spans(text), *((m.start(), m.end(), "secret") for m in SEEDS.finditer(text))], key=lambda s: (s[0], -s[1]))
+
+
 def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = [text[a:b] for x in batch.column(0) if (text := x.as_py()) for a, b in regions(text) if b - a <= 200]
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["region"])
-
-
-def fit_field(docs: DataFrame, id_col: str, text_col: str, max_docs: int = MAX_DOCS, max_regions: int = MAX_REGIONS) -> SemiMarkov:
-    """A field fitted on up to ``max_docs`` documents, picked by a hash of the id, and ``max_regions`` shapes of regions."""
-    n = docs.count()
-    share = 1_000_000 if n <= max_docs else max(1, max_docs * 1_000_000 // n)
-    picked = docs.filter(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1_000_000)) < share)
-    found = picked.select(text_col).mapInArrow(_sample, "region string")
-    shape = F.regexp_replace(F.regexp_replace("region", "[0-9]", "9"), "[a-z]+", "a")
-    shapes = found.groupBy(shape.alias("shape")).agg(F.min("region").alias("region"), F.count(F.lit(1)).alias("n"))
-    rows = shapes.orderBy(F.desc("n"), "shape").limit(max_regions).collect()
+        out = [part for x in batch.column(0) if (text := x.as_py()) for a, b in regions(text) for part in _parts(text[a:b])]
+        labels = [" ".join(sorted({k for _, _, k in gold_spans(part)})) for part in out]
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array(labels, pa.string())], ["region", "label"])
+
+
+def fit_field(docs: DataFrame, id_col: str, text_col: str, max_docs: int = MAX_DOCS, per_label: int = PER_LABEL) -> SemiMarkov:
+    """A field fitted on the regions of some ``max_docs`` documents, ``per_label`` shapes of each set of kinds."""
+    picked = docs.filter(in_sample(F.col(id_col), docs.count(), max_docs))
+    found = picked.select(text_col).mapInArrow(_sample, "region string, label string")
+    shape = F.regexp_replace("region", "[0-9a-f]*[0-9][0-9a-f]{11,}", "h")
+    shape = F.regexp_replace(F.regexp_replace(shape, "[0-9]", "9"), "[a-z]+", "a")
+    shapes = found.groupBy("label", shape.alias("shape")).agg(F.min("region").alias("region"))
+    ranked = shapes.selectExpr("label", "shape", "region", "row_number() over (partition by label order by xxhash64(shape), shape) as nth")
+    rows = ranked.filter(F.col("nth") <= per_label).orderBy("label", "nth").collect()
     return SemiMarkov().fit([r["region"] for r in rows])
 
 
@@ -234,9 +290,12 @@ def all_spans(text: str | None, field: SemiMarkov) -> tuple[list[tuple[int, int,
         return [], []
     base = base_spans(text)
     spans = list(base)
+    starts, reach = [a for a, _, _ in base], list(accumulate((b for _, b, _ in base), max))
     for start, end in regions(text):
         for span in field.decode(text, start, end):
-            if not any(span[0] < b and a < span[1] for a, b, _ in base):
+            # of the base spans that begin before its end none may reach beyond its start
+            before = bisect_left(starts, span[1])
+            if not before or reach[before - 1] <= span[0]:
                 spans.append(span)
     return base, sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
@@ -262,7 +321,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fi
 
     Spans are kind:start:end in code points, end exclusive, by start and then kind, joined by commas. The field adds the kind
     ``secret`` and spans like the base kinds that the patterns miss; these are in ``spans`` only. A null or empty text has none.
-    Rows that repeat, null ids and extra columns pass as they are; an empty table gives an empty one.
+    Texts are searched whole, however long. Rows that repeat and null ids pass as they are; extra columns are left out; an empty
+    table gives an empty one.
     """
     field = field or fit_field(docs, id_col, text_col)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -291,6 +351,10 @@ def _mask(weights, column: str):
 
 
 def mask_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", field: SemiMarkov | None = None) -> DataFrame:
-    """The same rows and columns with every span in the text replaced by its kind in angle brackets; other rows unchanged."""
+    """The same rows and columns with every span in the text replaced by its kind in angle brackets; other rows unchanged.
+
+    Null and empty texts stay as they are, and so do rows that repeat, null ids and all other columns, whatever their names; an
+    empty table gives an empty one.
+    """
     field = field or fit_field(docs, id_col, text_col)
     return docs.mapInArrow(_mask(field.weights, text_col), docs.schema)
