@@ -21,6 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .sampling import in_sample
+
 MAX_DOCS = 20_000
 BITS = 16
 
@@ -125,7 +127,10 @@ class _Shapes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) > 300_000:
             self.clear()
-        n = self[word] = xxhash.xxh32_intdigest(re.sub(rb"(?s)(.)\1+", rb"\1+", word[:64]), 1) >> (32 - BITS)
+        n = xxhash.xxh32_intdigest(re.sub(rb"(?s)(.)\1+", rb"\1+", word), 1) >> (32 - BITS)
+        # a long word is not held, but its shape is that of the whole word
+        if len(word) <= 64:
+            self[word] = n
         return n
 
 
@@ -178,8 +183,7 @@ class QualityModel:
 def fit_quality(docs: DataFrame, scratch, id_col: str = "doc_id", text_col: str = "text", max_docs: int = MAX_DOCS, l2: float = 1e-4, rounds: int = 150) -> QualityModel:
     """Votes over all documents, the weak-label model, and the scorer from the sample's posterior labels."""
     n = docs.count()
-    share = 1_000_000 if n <= max_docs else max(1, max_docs * 1_000_000 // n)
-    rows = docs.select(F.col(text_col).alias("text"), (F.pmod(F.xxhash64(F.col(id_col)), F.lit(1_000_000)) < share).alias("sampled"))
+    rows = docs.select(F.col(text_col).alias("text"), in_sample(F.col(id_col), n, max_docs).alias("sampled"))
     rows = scratch.save(rows.mapInArrow(_patterns, "pattern long, idx array<int>, val array<double>"))
     counted = rows.groupBy("pattern").count().collect()
     patterns = _unpack(np.array([r["pattern"] for r in counted], np.int64))
@@ -225,8 +229,8 @@ def _score(model):
 def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: QualityModel | None = None, scratch=None) -> DataFrame:
     """A row for each row: id, ``score`` (chance that the text is good), ``posterior`` (of its votes alone), ``kept`` (score >= 0.5).
 
-    A null or blank text has no words and is scored as such (the labellers call it bad). Rows that repeat get the same score;
-    extra columns are ignored; an empty table gives an empty one.
+    A null or blank text has no words and is scored as such (the labellers call it bad). Texts and words of any length are scored
+    whole. Rows that repeat get the same score; extra columns are ignored, whatever their names; an empty table gives an empty one.
     """
     from .scratch import Scratch
 
@@ -248,7 +252,11 @@ def _keep(model, column: str):
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: QualityModel | None = None, scratch=None) -> DataFrame:
-    """The rows, with all their columns, whose text scores 0.5 or more."""
+    """The rows, with all their columns, whose text scores 0.5 or more.
+
+    Null and blank texts are scored as texts without words; a null id is an id like others; rows that repeat go or stay together;
+    an empty table gives an empty one.
+    """
     from .scratch import Scratch
 
     model = model or fit_quality(docs, scratch or Scratch(docs.sparkSession), id_col, text_col)
