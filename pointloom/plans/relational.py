@@ -136,19 +136,6 @@ def overwrite_matched(spark, d):
 _NAMES = "select p_partkey, p_size, p_retailprice, string_split(p_name, ' ') as t1, string_split(lower(p_type), ' ') as t2, list_sort([string_split(p_name, ' ')[-1], string_split(lower(p_type), ' ')[-1]]) as key from part"
 
 
-@query(f"""with n as ({_NAMES}), a as (select * from n where p_partkey % 20 = 0), b as (select p_partkey as partner, p_size, p_retailprice, t1 as r1, t2 as r2, key from n where p_partkey % 20 between 1 and 6),
-keyed as (select a.p_partkey, partner, 1 as phase, b.p_retailprice from a join b on a.p_size = b.p_size and a.key = b.key),
-loose as (select a.p_partkey, partner, 2, b.p_retailprice from a join b on a.p_size = b.p_size where a.p_partkey not in (select p_partkey from keyed)
-  and (list_has_any(list_filter(t1, lambda t: length(t) >= 3), list_filter(r1, lambda t: length(t) >= 3)) and list_has_any(t2, r2)
-    or list_has_any(list_filter(t1, lambda t: length(t) >= 3), r2) and list_has_any(t2, list_filter(r1, lambda t: length(t) >= 3))))
-select p_partkey, partner, phase from (select *, row_number() over (partition by p_partkey order by p_retailprice desc, partner) as k from (select * from keyed union all select * from loose)) where k = 1""")
-def linkage_two_phase(spark, d):
-    t = table(spark, d, "part").select("p_partkey", "p_size", "p_name", "p_type", "p_retailprice")
-    left = t.filter("p_partkey % 20 = 0")
-    right = t.filter("p_partkey % 20 between 1 and 6").select(F.col("p_partkey").alias("partner"), "p_size", F.col("p_name").alias("one"), F.col("p_type").alias("two"), "p_retailprice")
-    return R.link_two_phase(left, right, ["p_size"], ("p_name", "p_type"), ("one", "two"), "p_partkey", "partner", [-F.col("p_retailprice")])
-
-
 @query(f"""with n as ({_NAMES}), b as (select p_partkey as partner, p_size, p_retailprice, t1 as r1, t2 as r2, key from n),
 keyed as (select n.p_partkey, partner, 1 as phase, b.p_retailprice from n join b on n.p_size = b.p_size and n.key = b.key and partner <> n.p_partkey),
 loose as (select n.p_partkey, partner, 2, b.p_retailprice from n join b on n.p_size = b.p_size and partner <> n.p_partkey where n.p_partkey not in (select p_partkey from keyed)
@@ -156,28 +143,18 @@ loose as (select n.p_partkey, partner, 2, b.p_retailprice from n join b on n.p_s
     or list_has_any(list_filter(t1, lambda t: length(t) >= 3), r2) and list_has_any(t2, list_filter(r1, lambda t: length(t) >= 3))))
 select p_partkey, partner, phase from (select *, row_number() over (partition by p_partkey order by p_retailprice desc, partner) as k from (select * from keyed union all select * from loose)) where k = 1""")
 def linkage_two_phase_whole(spark, d):
-    """Every part against all other parts; linkage_two_phase takes slices of both sides, as its SQL does."""
+    """Every part against all other parts."""
     t = table(spark, d, "part").select("p_partkey", "p_size", "p_name", "p_type", "p_retailprice")
     right = t.select(F.col("p_partkey").alias("partner"), "p_size", F.col("p_name").alias("one"), F.col("p_type").alias("two"), "p_retailprice")
     return R.link_two_phase(t, right, ["p_size"], ("p_name", "p_type"), ("one", "two"), "p_partkey", "partner", [-F.col("p_retailprice")], within=True)
 
 
-@query("""with a as (select p_partkey, p_brand, p_size % 5 as s, string_split(p_name, ' ')[1] as needle from part where p_partkey % 10 = 0),
-b as (select p_partkey as partner, p_brand, p_size % 5 as s, p_name from part where p_partkey % 10 between 1 and 5),
-h as (select p_partkey, partner, count(*) over (partition by p_partkey) as n from a join b using (p_brand, s) where length(needle) > 0 and contains(p_name, needle))
-select p_partkey, partner from h where n = 1""")
-def linkage_unique_only(spark, d):
-    t = table(spark, d, "part").withColumn("s", F.col("p_size") % 5)
-    right = t.filter("p_partkey % 10 between 1 and 5").withColumnRenamed("p_partkey", "partner")
-    return R.link_unique(t.filter("p_partkey % 10 = 0"), right, ["p_brand", "s"], F.split("p_name", " ")[0], F.col("p_name"), "p_partkey", "partner")
-
-
 @query("""with t as (select p_partkey, p_brand, p_size % 5 as s, p_name, string_split(p_name, ' ')[1] as needle from part),
 h as (select a.p_partkey, b.p_partkey as partner, count(*) over (partition by a.p_partkey) as n from t a join t b on a.p_brand = b.p_brand and a.s = b.s and a.p_partkey <> b.p_partkey
   where length(a.needle) > 0 and contains(b.p_name, a.needle))
 select p_partkey, partner from h where n = 1""")
 def linkage_unique_whole(spark, d):
-    """Every part against all other parts; linkage_unique_only takes slices of both sides, as its SQL does."""
+    """Every part against all other parts."""
     t = table(spark, d, "part").withColumn("s", F.col("p_size") % 5)
     return R.link_unique_within(t, ["p_brand", "s"], F.split("p_name", " ")[0], F.col("p_name"), "p_partkey", "partner")
 

@@ -142,12 +142,6 @@ def alignment_nw(spark, d):
     return Q.align_streams(a, b, "user_id", "k", "event_type")
 
 
-@query("""with x as (select doc_id, substr(x, 1, 40) as a, substr(x, 21, 40) as b from (select doc_id, regexp_replace(text, '[^ -~]', '', 'g') as x from documents)) select doc_id, levenshtein(a, b) as distance from x""")
-def edit_distance(spark, d):
-    t = table(spark, d, "documents").select("doc_id", F.regexp_replace("text", "[^ -~]", "").alias("x"))
-    return t.select("doc_id", F.levenshtein(F.substring("x", 1, 40), F.substring("x", 21, 40)).cast("long").alias("distance"))
-
-
 @query()
 def edit_distance_words(spark, d):
     """Distances of adjacent words over each document's whole text: how many pairs, their sum and the largest."""
@@ -192,14 +186,14 @@ def viterbi_tracks(spark, d):
     return Q.choose_tracks(t, ["user_id"])
 
 
-@query("""with recursive c as (select user_id, event_id, us, v, row_number() over (partition by user_id order by v desc, us, event_id) as k from """ + EV + """ where v >= 5000),
+@query("""with recursive c as (select user_id, event_id, us, v, row_number() over (partition by user_id order by v desc, us, event_id) as k from """ + EV + """),
 p as (select user_id, 1::BIGINT as k, [us] as taken, [event_id] as ids from c where k = 1
   union all select p.user_id, p.k + 1, case when list_min(list_transform(p.taken, lambda t: abs(t - c.us))) >= 432000000000 then list_append(p.taken, c.us) else p.taken end,
     case when list_min(list_transform(p.taken, lambda t: abs(t - c.us))) >= 432000000000 then list_append(p.ids, c.event_id) else p.ids end
   from p join c on p.user_id = c.user_id and c.k = p.k + 1)
 select user_id, unnest(arg_max(ids, k)) as event_id from p group by user_id""")
 def nms_greedy(spark, d):
-    rows = events(spark, d).filter("v >= 5000").select("user_id", "event_id", "us", "v")
+    rows = events(spark, d).select("user_id", "event_id", "us", "v")
     return Q.suppress_groups(rows, ["user_id"], "us", "v", "event_id", 432_000_000_000).select("user_id", "event_id")
 
 
