@@ -88,10 +88,27 @@ def box_iou(ax1: Column, ay1: Column, ax2: Column, ay2: Column, bx1: Column, by1
     return F.when(both > 0, w * h / both).otherwise(zero)
 
 
-def square_crop(x1: Column, y1: Column, x2: Column, y2: Column, margin: float = 1.2) -> Column:
-    half = F.greatest(x2 - x1, y2 - y1) * margin / 2
-    cx, cy = (x1 + x2) / 2, (y1 + y2) / 2
-    return F.struct((cx - half).alias("x1"), (cy - half).alias("y1"), (cx + half).alias("x2"), (cy + half).alias("y2"))
+def square_crop(x1: Column, y1: Column, x2: Column, y2: Column, scale: float = 1.7, least: float = 64.0) -> Column:
+    """A square around a box, in whole pixels: its corner, a twentieth of the side above the middle, and its side."""
+    side = F.greatest(F.lit(least), scale * F.greatest(y2 - y1, 1.2 * (x2 - x1)))
+    whole = lambda v: F.rint(v).cast("int")
+    return F.struct(whole((x1 + x2) / 2 - side / 2).alias("x"), whole((y1 + y2) / 2 - 0.55 * side).alias("y"), whole(side).alias("side"))
+
+
+def region_box(h: Column, corners: Column, width: int, height: int, top: float, beside: float, least: int = 32) -> Column:
+    """The box in the picture of a region on the court: ``corners`` (an array of x, y) through the projection ``h``, padded and
+    cut at the picture's edges; null if it is smaller than ``least`` either way."""
+    seen = F.transform(corners, lambda c: project(h, c["x"], c["y"]))
+    at = lambda f, c: f(F.transform(seen, lambda q: q[c]))
+    whole = lambda v: F.floor(v).cast("int")
+    x1, y1 = whole(F.greatest(at(F.array_min, "x") - beside, F.lit(0.0))), whole(F.greatest(at(F.array_min, "y") - top, F.lit(0.0)))
+    x2, y2 = whole(F.least(at(F.array_max, "x") + beside, F.lit(float(width)))), whole(F.least(at(F.array_max, "y") + 0.25 * top, F.lit(float(height))))
+    return F.when((x2 - x1 >= least) & (y2 - y1 >= least), F.struct(x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2")))
+
+
+def hit_score(loud: Column, reach: Column, bias: float = -1.0, per_loud: float = 0.25, from_loud: float = 6.0, per_reach: float = 1.0) -> Column:
+    """Evidence of a contact without any label: loudness and the reach of the wrist (0.6 if unseen), 6 at most either way."""
+    return clip(bias + per_loud * (loud - from_loud) + per_reach * (F.coalesce(reach, F.lit(0.6)) - 0.8), -6, 6)
 
 
 def keypoint(points: Column, k: int) -> Column:

@@ -156,3 +156,16 @@ def distance_run(points: DataFrame, samples: DataFrame, by: list[str], start: st
     held = in_interval(samples, points, by, on, start, end, ["pid"]).filter("pid is not null")
     good = held.groupBy(*by, "pid").agg(F.count(F.lit(1)).alias("_n"), F.count_distinct("seg").alias("_s")).filter((F.col("_n") >= least) & (F.col("_s") == 1)).select(*by, "pid")
     return path_length(held.join(good, [*by, "pid"]), [*by, "pid"], [on], x, y, longest)
+
+
+def medians_by_end(serves: DataFrame, returns: DataFrame, end: str, depth: str) -> DataFrame:
+    """The median depth of the server by the server's end and of the returner by the other one: role, end and median."""
+    flipped = F.when(F.col(end) == "near", "far").otherwise("near")
+    rows = serves.select(F.lit("server").alias("role"), F.col(end).alias("end"), F.col(depth).alias("_d")).unionByName(returns.select(F.lit("returner").alias("role"), flipped.alias("end"), F.col(depth).alias("_d")))
+    return rows.groupBy("role", "end").agg(F.median("_d").alias("depth"))
+
+
+def medians_by_era(rows: DataFrame, year: str, value: str, eras: tuple[tuple[int, int], ...] = ((2001, 2010), (2011, 2020), (2021, 2025))) -> DataFrame:
+    """Number and median of each range of years."""
+    at = F.coalesce(*[F.when(F.col(year).between(a, b), F.lit(a)) for a, b in eras])
+    return rows.withColumn("first_year", at).filter("first_year is not null").groupBy("first_year").agg(F.count(F.lit(1)).alias("n"), F.median(value).alias("median"))

@@ -109,3 +109,23 @@ def cost(ledger: DataFrame, usd_per_token: float) -> DataFrame:
     """Requests, tokens and cost by the part of the label before its first colon."""
     label = F.split(F.col("label"), ":")[0]
     return ledger.groupBy(label.alias("label")).agg(F.count(F.lit(1)).alias("requests"), F.sum("input_tokens").alias("tokens"), F.sum(F.coalesce("usd", F.col("input_tokens") * usd_per_token)).alias("usd"))
+
+
+def side_scores(rows: DataFrame, by: list[str], truth: str, p: str, positive: str = "F", negative: str = "B") -> DataFrame:
+    """Number, accuracy at one half, AUC and calibration error of a chance of ``positive`` where the truth is known."""
+    known = rows.filter(F.col(truth).isin(positive, negative) & F.col(p).isNotNull()).withColumn("_y", F.col(truth) == positive)
+    hits = known.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), share((F.col(p) >= 0.5) == F.col("_y")).alias("acc"))
+    return hits.join(auc(known, by, p, F.col("_y")).select(*by, "auc"), by, "left").join(calibration(known, by, F.col(p), F.col("_y")).groupBy(*by).agg(F.max("ece").alias("ece")), by, "left")
+
+
+def agreement(a: DataFrame, b: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """How many rows both tables label, and the share of these with the same label."""
+    both = a.select(*keys, F.col(label).alias("_a")).join(b.select(*keys, F.col(label).alias("_b")), keys)
+    return both.agg(F.count(F.lit(1)).alias("n"), share(F.col("_a") == F.col("_b")).alias("agree"))
+
+
+def projected_cost(requests: DataFrame, kind: str, tokens: str, keys: list[str], counts: DataFrame, usd_per_token: float, probes: int = 3) -> DataFrame:
+    """The cost of all requests of each kind (``counts``: kind, n) from the mean tokens of its first ``probes`` requests."""
+    nth = F.row_number().over(Window.partitionBy(kind).orderBy(*keys))
+    mean = requests.withColumn("_nth", nth).filter(F.col("_nth") <= probes).groupBy(kind).agg(F.avg(tokens).alias("tokens_per_request"))
+    return counts.join(mean, kind, "left").withColumn("projected_usd", F.col("n") * F.col("tokens_per_request") * usd_per_token)

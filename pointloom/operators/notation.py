@@ -200,6 +200,29 @@ def with_summary(points: DataFrame, point: str = "point") -> DataFrame:
     return points.withColumn("outcome", outcome).withColumn("last_hitter_role", hitter).withColumn("winner_role", winner)
 
 
+def point_table(points: DataFrame, matches: DataFrame) -> DataFrame:
+    """One row for each point, in the columns of schema.POINT_TABLE: who serves, the recorded score, what the notation says, and
+    whether the winner it implies is the recorded one (null where it implies none or nothing is recorded).
+
+    ``points`` as read_points() gives them; ``matches`` as read_matches(). A match that isn't listed has no names.
+    """
+    rows = with_summary(parse_points(points))
+    names = matches.select("match_id", F.col("Player 1").alias("_one"), F.col("Player 2").alias("_two")).dropDuplicates(["match_id"])
+    rows = rows.join(names, "match_id", "left")
+    p, server = F.col("point"), F.col("Svr")
+    other = 3 - server
+    name = lambda who: F.when(who == 1, F.col("_one")).when(who == 2, F.col("_two"))
+    serve = F.get(p["serves"], F.col("in_serve_index") - 1)
+    implied = F.when(F.col("winner_role") == "server", server).when(F.col("winner_role") == "returner", other)
+    made = {
+        "server": server, "returner": other, "server_name": name(server), "returner_name": name(other), "n_serve_attempts": F.size(p["serves"]),
+        "in_serve": F.col("in_serve_index"), "in_serve_direction": C.lookup(serve["direction"], C.SERVE_DIRECTIONS), "is_double_fault": F.col("double_fault"),
+        "special": p["special"], "challenge": F.coalesce(p["challenge"], F.lit(False)), "notation_winner_agrees": implied == F.col("PtWinner"),
+        "parse_ok": p["ok"], "canonical": p["canonical"], "parse_errors": F.concat_ws("; ", p["errors"]),
+    }
+    return rows.select(*[(made[c] if c in made else F.col(f"`{c}`")).alias(c) for c in schema.POINT_TABLE])
+
+
 def _spell_serve(s: Column) -> Column:
     part = lambda c: F.coalesce(c, F.lit(""))
     flag = lambda c, t: F.when(c, t).otherwise("")
@@ -242,3 +265,17 @@ def canonical_kind(s: Column) -> Column:
 def canonical_shots(s: Column) -> Column:
     """The shots of a canonical rally as strings."""
     return F.regexp_extract_all(s, F.lit(rf"({_SHOT}[nwdxe!]{{0,2}}[*#@]?)"), F.lit(1))
+
+
+@F.udtf(returnType="pos int, char string, kind string")
+class Lexemes:
+    """A row for each character of a string of the notation: in SQL, ``select ... from t, lateral lexemes(t.s)``."""
+
+    def eval(self, s: str):
+        for pos, char in enumerate(s or ""):
+            yield pos, char, C.KINDS.get(char, "junk")
+
+
+def register(spark) -> None:
+    """Makes the table function known to the session's SQL."""
+    spark.udtf.register("lexemes", Lexemes)

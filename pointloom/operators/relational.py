@@ -142,3 +142,31 @@ def fit_columns(rows: DataFrame, wanted: list[str], kind: str = "double") -> Dat
 
 def numeric_columns(rows: DataFrame, prefix: str = "") -> list[str]:
     return [f.name for f in rows.schema if f.name.startswith(prefix) and f.dataType.typeName() in ("double", "float", "integer", "long", "short", "byte")]
+
+
+def sample_rows(rows: DataFrame, keys: list[str], n: int, seed: int = 0) -> DataFrame:
+    """``n`` different rows in the order of a digest of seed and keys: the same ones in every run, whatever the partitions."""
+    mark = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]))
+    return rows.withColumn("_mark", mark).orderBy("_mark", *keys).limit(n).drop("_mark")
+
+
+def side_by_side(a: DataFrame, b: DataFrame, keys: list[str], order_a: list[str], order_b: list[str], number: str = "rn") -> DataFrame:
+    """Rows of both tables with the same number within ``keys``, in one row; nulls where one table is shorter."""
+    counted = lambda df, order: df.withColumn(number, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return counted(a, order_a).join(counted(b, order_b), [*keys, number], "full")
+
+
+def isolated(rows: DataFrame, by: list[str], function, fields: str) -> DataFrame:
+    """``function`` (a pandas frame to one) for each group of ``by``, with a column ``error``: a group that fails gives one row
+    with its keys and the error's text, and the others go on. ``fields`` are the result's columns, the keys first."""
+    import pandas as pd
+
+    names = [f.strip().split(" ")[0] for f in fields.split(",")]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        try:
+            return function(pdf).assign(error=None)[[*names, "error"]]
+        except Exception as e:  # noqa: BLE001
+            return pd.DataFrame([{k: pdf[k].iloc[0] for k in by} | {"error": f"{type(e).__name__}: {e}"}], columns=[*names, "error"])
+
+    return rows.groupBy(*by).applyInPandas(run, f"{fields}, error string")

@@ -54,6 +54,48 @@ def rule_name(tournament: Column, year: Column, last: bool) -> Column:
     return out
 
 
+def slam_best_of(gender: Column, round_: Column) -> Column:
+    """Sets of a grand-slam singles match: 5 in the men's main draw, 3 elsewhere. Match lists are wrong about it at times."""
+    men = F.substring(F.lower(F.trim(gender)), 1, 1) == "m"
+    qualifying = F.upper(F.trim(round_)).isin("Q1", "Q2", "Q3", "Q4")
+    return F.when(F.coalesce(men, F.lit(False)) & ~F.coalesce(qualifying, F.lit(False)), 5).otherwise(3)
+
+
+def recorded_state(sets: tuple[Column, Column], games: tuple[Column, Column], server: Column, pts: Column, best_of: Column, final: Column, regular: Column) -> Column:
+    """A recorded row (texts or numbers) as sets, games and points of both players, server and in_tiebreak, to be compared with a
+    replay; null if any field is missing or malformed."""
+    s1, s2, g1, g2, own = (c.try_cast("int") for c in (*sets, *games, server))
+    rule = F.when(s1 + s2 + 1 == best_of, final).otherwise(regular)
+    at = C.lookup(rule, {name: str(r.at) for name, r in RULES.items() if r.at is not None}).cast("int")
+    tie = F.coalesce((g1 == at) & (g2 == at), F.lit(False))
+    told = C.parse_pts(pts, tie)
+    mine = lambda p: F.when(own == p, told["a"]).otherwise(told["b"])
+    fields = {"sets_p1": s1, "sets_p2": s2, "games_p1": g1, "games_p2": g2, "points_p1": mine(1), "points_p2": mine(2), "server": own, "in_tiebreak": tie}
+    whole = F.lit(True)
+    for c in (s1, s2, g1, g2, own, told):
+        whole = whole & c.isNotNull()
+    return F.when(whole, F.struct(*[v.alias(k) for k, v in fields.items()]))
+
+
+def completeness(replayed: DataFrame, key: str, order: str, winner: str, best_of: str = "best_of", final: str = "final_rule", regular: str = "regular_rule") -> DataFrame:
+    """``complete`` for each match: no winner is missing and the match ends with the last row, neither before nor after it.
+
+    ``replayed`` are replay()'s rows with the winner and the match's rules.
+    """
+    now = [tuple(F.col(f"{c}_p{p}") for p in (1, 2)) for c in ("sets", "games", "points")]
+    nxt = successor(F.col(best_of), F.col(final), F.col(regular), *now, F.col("server"), F.col(winner))
+    ends = F.greatest(nxt["sets_p1"], nxt["sets_p2"]) > F.floor(F.col(best_of) / 2)
+    rows = replayed.select(key, order, winner, "after_match_end", F.coalesce(ends, F.lit(False)).alias("_ends"))
+    good = F.max_by("_ends", order) & ~F.bool_or("after_match_end") & F.bool_and(F.col(winner).isNotNull())
+    return rows.groupBy(key).agg(good.alias("complete"))
+
+
+def end_layouts(server: Column, swapped: Column) -> tuple[Column, Column]:
+    """Where the server stands if the first player began at the near end (a) or at the far one (b), from the ends' changes."""
+    near = (server == 1) == (swapped == 0)
+    return F.when(near, "near").otherwise("far"), F.when(near, "far").otherwise("near")
+
+
 @dataclass(frozen=True)
 class State:
     """The score before a point. ``serves`` is the game's server, or a tiebreak's first."""

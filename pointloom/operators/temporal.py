@@ -151,6 +151,31 @@ def running_median(x: str, by: list[str], order: list[str], size: int) -> Column
     return (low + high) / 2
 
 
+def running_spread(rows: DataFrame, x: str, by: list[str], order: list[str], size: int) -> DataFrame:
+    """``median`` of the centred window, and ``mad``, the same of the distances from it."""
+    rows = rows.withColumn("median", running_median(x, by, order, size)).withColumn("_off", F.abs(F.col(x) - F.col("median")))
+    return rows.withColumn("mad", running_median("_off", by, order, size)).drop("_off")
+
+
+def same_time(left: DataFrame, right: DataFrame, by: list[str], on: str, carry: list[str], prefix: str = "r_") -> DataFrame:
+    """``left`` with ``carry`` of the row of ``right`` at the same time to a microsecond; null if there is none."""
+    tick = F.round(F.col(on) * 1_000_000).cast("long")
+    told = right.withColumn("_tick", tick).groupBy(*by, "_tick").agg(*[F.max_by(c, on).alias(prefix + c) for c in carry])
+    return left.withColumn("_tick", tick).join(told, [*by, "_tick"], "left").select(*left.columns, *[prefix + c for c in carry])
+
+
+def blend_at(left: DataFrame, right: DataFrame, by: list[str], on: str, array: str, longest: float = 2.0, name: str = "blended") -> DataFrame:
+    """An array of numbers of ``right`` at the times of ``left``: on the line between the samples beside, the nearer one's where
+    these are more than ``longest`` apart (the later one on a tie), the first or last outside; null without any."""
+    both = asof(asof(left, right, by, on, [array], prefix="_b_", strict=True), right, by, on, [array], forward=True, prefix="_f_")
+    before, after, t = F.col("_b_" + on), F.col("_f_" + on), F.col(on)
+    a, b, w = F.col("_b_" + array), F.col("_f_" + array), (t - before) / (after - before)
+    mixed = F.zip_with(a, b, lambda x, y: (1 - w) * x + w * y)
+    far = after - before > longest
+    value = F.when(before.isNull(), b).when(after.isNull(), a).when(far & (t - before < after - t), a).when(far, b).otherwise(mixed)
+    return both.select(*left.columns, value.alias(name))
+
+
 def path_length(rows: DataFrame, by: list[str], order: list[str], x: str, y: str, longest: float, name: str = "distance") -> DataFrame:
     """The sum of the steps between rows that follow each other, without steps of ``longest`` or more."""
     w = Window.partitionBy(*by).orderBy(*order)

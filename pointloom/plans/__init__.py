@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import measures, relational, sequences, timeline
+from . import measures, pieces, relational, sequences, timeline
 
-PARTS = (relational, timeline, measures, sequences)
+PARTS = (relational, timeline, measures, sequences, pieces)
 QUERIES = {name: f for part in PARTS for name, f in part.QUERIES.items()}
 SQL = {name: sql for part in PARTS for name, sql in part.SQL.items()}

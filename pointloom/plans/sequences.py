@@ -206,7 +206,7 @@ def _stream(spark, d, name):
 def stream_tail(spark, d):
     s = _stream(spark, d, "events").select("event_type", F.round(F.col("value") * 100).cast("long").alias("cents"))
     totals = J.running_totals(s, [F.col("event_type")], ["cents"])
-    return J.drain(totals, "pointloom_tail", session.work_folder(spark), "complete")
+    return J.drain(totals, "tail", session.work_folder(spark), "complete")
 
 
 @query(f"""with i as (select *, sum(b) over (partition by user_id order by us, event_id rows between unbounded preceding and current row) as island from
@@ -216,7 +216,7 @@ def stream_islands(spark, d):
     s = _stream(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
     # a run ends when the pause is longer than six hours, a session when it is that long: a microsecond more makes them one
     out = s.groupBy("user_id", F.session_window("ts", "6 hours 1 microseconds")).agg(F.count(F.lit(1)).alias("n"), F.unix_micros(F.min("ts")).alias("start_us"), F.unix_micros(F.max("ts")).alias("end_us"))
-    return J.drain(out.select("user_id", "n", "start_us", "end_us"), "pointloom_islands", session.work_folder(spark), "complete")
+    return J.drain(out.select("user_id", "n", "start_us", "end_us"), "islands", session.work_folder(spark), "complete")
 
 
 @query(_SCORE_SQL + "select user_id, pt::INT as number, s1 as sets_p1, s2 as sets_p2, g1 as games_p1, g2 as games_p2 from s where greatest(s1, s2) < 2")
@@ -225,7 +225,7 @@ def stream_score(spark, d):
     _winners(spark, d).select("user_id", F.col("pt").alias("number"), "winner").repartition(4, "number").write.parquet(f"{folder}/points")
     s = spark.readStream.schema("user_id long, number int, winner int").option("maxFilesPerTrigger", 2).parquet(f"{folder}/points")
     out = J.live_scores(s, "user_id", "number", "winner")
-    done = J.drain(out, "pointloom_score", f"{folder}/checkpoint")
+    done = J.drain(out, "score", f"{folder}/checkpoint")
     return done.filter("greatest(sets_p1, sets_p2) < 2").select("user_id", "number", "sets_p1", "sets_p2", "games_p1", "games_p2")
 
 

@@ -14,6 +14,13 @@ MATCHES = strings("match_id", "Player 1", "Player 2", "Pl 1 hand", "Pl 2 hand",
 POINTS = strings("match_id", "Pt", "Set1", "Set2", "Gm1", "Gm2", "Pts", "Gm#", "TbSet", "Svr", "1st", "2nd", "Notes", "PtWinner")
 POINT_INTEGERS = ("Pt", "Set1", "Set2", "Gm1", "Gm2", "Gm#", "Svr", "PtWinner")
 
+#: One row a point, as point_table() gives it.
+POINT_TABLE = (
+    "match_id", "Pt", "server", "returner", "server_name", "returner_name", "Set1", "Set2", "Gm1", "Gm2", "Pts", "Gm#", "TbSet",
+    "n_serve_attempts", "in_serve", "in_serve_direction", "is_double_fault", "n_contacts", "outcome", "last_hitter_role", "special",
+    "challenge", "winner_role", "PtWinner", "notation_winner_agrees", "parse_ok", "canonical", "parse_errors",
+)
+
 SERVE = "struct<lets:int,direction:string,fault:string,outcome:string,volley:boolean,underarm:boolean,cord:boolean>"
 SHOT = "struct<letter:string,modifiers:string,direction:string,depth:string,error:string,outcome:string>"
 ATTEMPT = f"struct<special:string,serve:{SERVE},shots:array<{SHOT}>,challenge:boolean,canonical:boolean,errors:array<string>,warnings:array<string>>"

@@ -78,10 +78,28 @@ def live_scores(points: DataFrame, key: str, number: str, winner: str, first_ser
 
 
 def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """All that is there now, through the stream into a table in memory: for tests and catching up small inputs."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """All that is there now, through the stream into Parquet beside its checkpoint, read back. A complete result replaces the one
+    before it; appended rows have a folder for each batch, so that a batch done twice leaves the same files."""
+    rows, spark = f"{checkpoint}/rows-{name}", stream.sparkSession
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{rows}/batch-{0 if mode == 'complete' else number}")
+
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{rows}/batch-none")
+    query = stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{checkpoint}/log").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(rows)
+
+
+def run_until(query: StreamingQuery, flag, every: float = 1.0) -> int:
+    """Lets a query run until ``flag()`` is true, then ends it after the batch under way; the number of its last batch."""
+    while query.isActive and not flag():
+        query.awaitTermination(every)
+    while query.isActive and query.status["isTriggerActive"]:
+        query.awaitTermination(0.1)
+    last = query.lastProgress
+    query.stop()
+    return last["batchId"] if last else -1
 
 
 def each_batch(stream: DataFrame, path: str, keys: list[str], checkpoint: str, every: str | None = None) -> StreamingQuery:
