@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import small_batches
+
 WINDOW = 4
 MASK = 31
 CACHE_CHARS = 4_000_000
@@ -213,6 +215,7 @@ def encode_texts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     ``tokenizer`` is the path of a tokenizers JSON file that every executor can open. Special tokens in a text are encoded
     as the library does; none are added. Null and empty texts have no tokens. Extra columns are ignored.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     more = "ids array<int>, decoded string" if keep_ids else "ids_sha256 string, decoded_sha256 string"

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import in_sample
+from .scratch import small_batches
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret")
@@ -35,7 +36,7 @@ MAX_DOCS = 20_000
 PER_LABEL = 100
 PART = 200
 #: Boundaries scored at a time, and scored spans that a worker holds.
-STEP, HELD = 512, 100_000
+STEP, HELD = 512, 30_000
 
 # The base patterns.
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -274,6 +275,7 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit_field(docs: DataFrame, id_col: str, text_col: str, max_docs: int = MAX_DOCS, per_label: int = PER_LABEL) -> SemiMarkov:
     """A field fitted on the regions of some ``max_docs`` documents, ``per_label`` shapes of each set of kinds."""
+    small_batches(docs.sparkSession)
     picked = docs.filter(in_sample(F.col(id_col), docs.count(), max_docs))
     found = picked.select(text_col).mapInArrow(_sample, "region string, label string")
     shape = F.regexp_replace("region", "[0-9a-f]*[0-9][0-9a-f]{11,}", "h")

@@ -25,11 +25,24 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_own[app]}"
 
 
+#: Rows of whole texts that go to Python at a time.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_ROWS rows in this session, unless it has a setting of its own: texts are long, and Spark's 10,000
+    rows are held several times over on their way."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 class Scratch:
     """Tables written once and read again, so that a lost executor never costs more than the step under way."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        small_batches(spark)
         self.base = f"{shared_folder(spark)}/llm-{uuid.uuid4().hex}"
         self.n = 0
         self.paths: dict[int, str] = {}

@@ -13,7 +13,7 @@ _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xBF58476D1CE4E5B9)
 _C = np.uint64(0x94D049BB133111EB)
 _BASE = 0x2545F4914F6CDD1D
-_ROWS_BYTES = 1 << 21
+_ROWS_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -91,6 +91,8 @@ def pieces(batches: Iterator[pa.RecordBatch], size: int = _ROWS_BYTES) -> Iterat
         step = max(1, size // per)
         for at in range(0, batch.num_rows, step):
             yield batch.slice(at, step)
+        # what a batch took isn't kept for the next one
+        pa.default_memory_pool().release_unused()
 
 
 def shingle_sets(column: pa.Array, width: int) -> list[np.ndarray]:
