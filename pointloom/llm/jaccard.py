@@ -17,10 +17,13 @@ two documents that link are sure to share one. There are two kinds; both are exa
   by how often a shingle occurs in all documents (counted in a table of fixed size), the rare ones first. Fewer rows, and
   selective only if a single shingle is; best for long shingles and lower thresholds.
 
-Only components are asked for, so in each cell all members are first compared with one of them (linear in the cell, however
-many near copies it holds). Cells whose members then are in more than one component get an R-tree, split into blocks of
-BLOCK points; only members outside the first one's component search it, and only for members of other components. A first
-search takes the FEW likeliest finds of each member, which leaves near copies in one component; a second takes all finds.
+Only components are asked for, so members of a cell are first compared with one of them (linear in the cell, however many
+near copies it holds). Cells whose members then are in more than one component get an R-tree over the points of each block of
+members (bounded in members and in bytes). Twice: the first time each member asks for the FEW points nearest to its own, over
+all its cells, which leaves near copies in one component; the second time it asks for components, each once, in which some
+member's point lets a link pass. Of two components the smaller one asks. A component that is asked is compared in full, its sets
+in blocks of ROOM shingles, and an ask gets one link at most as its answer. So what is passed on follows the members and the
+components that lie near them, not the pairs of members.
 """
 
 from __future__ import annotations
@@ -39,15 +42,32 @@ from .shingles import mix, pieces, shingle_sets, signature
 GROUPS = 64
 FULL = 8
 BLOCK = 2048
+BLOCK_BYTES = 1 << 22
+ROOM = 1 << 20
+ASKS = 4096
 FEW = 3
 SKETCH_BITS = 20
 
 
 def count_vector(shingles: np.ndarray) -> np.ndarray:
+    """Group counts, each below 256; groups are doubled until there are enough of them."""
     bits = GROUPS.bit_length() - 1
-    while len(shingles) > FULL << bits:
+    place = mix(shingles, 7)
+    while True:
+        counts = np.bincount((place >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+        if len(shingles) <= FULL << bits and counts.max() < 256:
+            return counts.astype(np.uint8)
         bits += 1
-    return np.bincount((mix(shingles, 7) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.int32)
+
+
+def to_point(size: int, counts: np.ndarray) -> bytes:
+    return size.to_bytes(4, "little") + counts.tobytes()
+
+
+def from_point(data) -> np.ndarray:
+    """(size, group counts) of a stored point."""
+    head = np.frombuffer(data, np.uint8)
+    return np.concatenate([head[:4].view(np.int32), head[4:]])
 
 
 def fold(counts: np.ndarray, groups: int) -> np.ndarray:
@@ -197,7 +217,7 @@ def _features(width: int, num: int, den: int, levels):
             n, sig, keys, points = [], [], [], []
             for own in shingle_sets(batch.column(1), width):
                 n.append(len(own))
-                points.append(np.concatenate([[len(own)], count_vector(own)]).astype(np.int32).tobytes() if len(own) else None)
+                points.append(to_point(len(own), count_vector(own)) if len(own) else None)
                 sig.append(signature(own) if len(own) else None)
                 if not len(own) or sig[-1] in known:
                     keys.append(None)
@@ -205,7 +225,8 @@ def _features(width: int, num: int, den: int, levels):
                 if len(known) < 1 << 18:
                     known.add(sig[-1])
                 keys.append((classes.cells(own) if level is None else prefix_cells(own, num, den, level)).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(points, pa.binary())], ["id", "n", "sig", "keys", "point"])
+            cols = [pa.array(n, pa.int64()), pa.array(sig, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(points, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *cols], ["id", "text_hash", "n", "sig", "keys", "point"])
 
     return run
 
@@ -229,8 +250,25 @@ def may_hold(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
+def _kept_cells(table):
+    """(cell, sig, bit) for each cell that the table may hold with this class of sizes in the cell's highest bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            lists = batch.column(1)
+            keys = lists.flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            sigs, bits = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
+            size = np.log2(bits.view(np.uint64).astype(np.float64)).astype(np.int64) << 58
+            keep = may_hold(table.value, keys ^ size[row])
+            row = row[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(sigs[row]), pa.array(bits[row])], ["cell", "sig", "bit"])
+
+    return run
+
+
 def _sets(width: int, wanted, sigs):
-    """Sets of the rows whose hash of the id and whose signature may be wanted, each signature once a task."""
+    """Sets of the rows whose hash of id and text and whose signature may be wanted, each signature once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -254,133 +292,246 @@ def _bound(num: int, den: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            may = [may_link(np.frombuffer(p.as_buffer(), np.int32), np.frombuffer(q.as_buffer(), np.int32), num, den) for p, q in zip(batch.column(2), batch.column(3))]
+            may = [may_link(from_point(p.as_buffer()), from_point(q.as_buffer()), num, den) for p, q in zip(batch.column(2), batch.column(3))]
             yield batch.select([0, 1]).filter(pa.array(may, pa.bool_()))
 
     return run
 
 
-def _verify(num: int, den: int):
-    """Of pairs with both sets, those that link."""
+def _answer(num: int, den: int):
+    """Rows sorted by (group, block, salt), the sets that are asked first, then the sets that ask: for each ask one set that
+    links with it, if there is any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, names, sets, index = None, [], [], None
         for batch in batches:
-            keep = []
-            for a, b in zip(batch.column(2), batch.column(3)):
-                left, right = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                small, large = (left, right) if len(left) <= len(right) else (right, left)
-                at = np.searchsorted(large, small)
-                common = int((large[np.minimum(at, len(large) - 1)] == small).sum())
-                keep.append(common * (num + den) >= num * (len(left) + len(right)))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            u, v = [], []
+            keys = zip(*(batch.column(i).to_pylist() for i in range(5)))
+            for (group, block, salt, asks, sig), data in zip(keys, batch.column(5)):
+                if (group, block, salt) != now:
+                    now, names, sets, index = (group, block, salt), [], [], None
+                own = np.frombuffer(data.as_buffer(), np.uint64)
+                if not asks:
+                    names.append(sig)
+                    # the batch's memory isn't held
+                    sets.append(own.copy())
+                    continue
+                if not names:
+                    continue
+                if index is None:
+                    sizes = np.array([len(x) for x in sets])
+                    held, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+                    order = np.argsort(held, kind="stable")
+                    index, sets = (held[order], owner[order], sizes), []
+                held, owner, sizes = index
+                low, high = np.searchsorted(held, own, "left"), np.searchsorted(held, own, "right")
+                count = high - low
+                at = np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+                common = np.bincount(owner[at], minlength=len(names))
+                best = int(np.argmax(common * (num + den) - num * (sizes + len(own))))
+                if common[best] * (num + den) >= num * (int(sizes[best]) + len(own)):
+                    u.append(sig)
+                    v.append(names[best])
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
     return run
 
 
-def _search(num: int, den: int, few: int | None):
-    """Rows sorted by (cell, block), points of the tree first, then the searches: pairs that the bound lets pass, of each
-    search only the ``few`` whose points lie nearest if that is given."""
+def _near(num: int, den: int, wide: bool):
+    """Rows sorted by (cell, block, guest): of a block's own members, each asks for what others of it may link with; guests ask
+    only. With ``wide`` the answers are all components, else the nearest member: (asker, answer, distance)."""
+
+    def answers(rows: list[tuple], points: list[np.ndarray], own: int, start: int) -> Iterator[tuple[int, int, int]]:
+        rank = [(r[2], r[1]) for r in rows]
+        if own == 0 or max(rank[:own]) == min(rank):
+            return
+        coarse = np.array([np.concatenate([p[:1], fold(p[1:], GROUPS)]) for p in points], np.int64)
+        ranked = {k: i for i, k in enumerate(sorted(set(rank)))}
+        order = np.array([ranked[k] for k in rank])
+        comps = np.array([r[1] for r in rows[:own]])
+        tree = RTree(coarse[:own])
+        top = order[:own].max()
+        for i in start + np.flatnonzero(order[start:] < top):
+            found = tree.search(coarse[i], num, den)
+            found = found[order[found] > order[i]]
+            if not len(found):
+                continue
+            apart = np.abs(coarse[found] - coarse[i]).sum(axis=1)
+            done: set[int] = set()
+            for k in np.argsort(apart, kind="stable"):
+                j = int(found[k])
+                if comps[j] in done or not may_link(points[i], points[j], num, den):
+                    continue
+                done.add(int(comps[j]))
+                if not wide:
+                    yield rows[i][0], rows[j][0], int(apart[k])
+                    break
+                yield rows[i][0], int(comps[j]), 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, points, sigs, comps, tree = None, [], [], [], None
+        now, rows, points, own, start = None, [], [], 0, 0
+        out: list[tuple[int, int, int]] = []
+
+        def batch_of() -> pa.RecordBatch:
+            cols = list(zip(*out)) if out else [[], [], []]
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["u", "g", "apart"])
+
+        def answered() -> Iterator[pa.RecordBatch]:
+            for found in answers(rows, points, own, start):
+                out.append(found)
+                if len(out) >= 1 << 15:
+                    yield batch_of()
+
         for batch in batches:
-            u, v = [], []
-            cols = [batch.column(i).to_pylist() for i in range(5)]
-            for cell, block, asks, sig, comp, point in zip(*cols, batch.column(5)):
+            keys = zip(*(batch.column(i).to_pylist() for i in range(6)))
+            for (cell, block, guest, sig, comp, size), data in zip(keys, batch.column(6)):
                 if (cell, block) != now:
-                    now, points, sigs, comps, tree = (cell, block), [], [], [], None
-                own = np.frombuffer(point.as_buffer(), np.int32)
-                if not asks:
-                    points.append(own)
-                    sigs.append(sig)
-                    comps.append(comp)
-                    continue
-                if tree is None:
-                    if not points:
-                        continue
-                    at_point = np.array([np.concatenate([x[:1], fold(x[1:], GROUPS)]) for x in points], np.int64)
-                    at_sig, at_comp, tree = np.array(sigs), np.array(comps), RTree(at_point)
-                coarse = np.concatenate([own[:1], fold(own[1:], GROUPS)]).astype(np.int64)
-                found = tree.search(coarse, num, den)
-                found = found[at_comp[found] != comp]
-                if len(own) > GROUPS + 1 and len(found):
-                    found = found[[may_link(own, points[i], num, den) for i in found]]
-                if few and len(found) > few:
-                    apart = np.abs(at_point[found] - coarse).sum(axis=1)
-                    found = found[np.argpartition(apart, few)[:few]]
-                found = at_sig[found]
-                u += [sig] * len(found)
-                v += found.tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+                    yield from answered()
+                    now, rows, points, own, start = (cell, block), [], [], 0, 0
+                elif len(rows) >= own + BLOCK:
+                    # guests are answered in groups
+                    yield from answered()
+                    rows, points, start = rows[:own], points[:own], own
+                rows.append((sig, comp, size))
+                points.append(from_point(data.as_buffer()))
+                own += not guest
+            yield batch_of()
+        yield from answered()
+        yield batch_of()
 
     return run
 
 
-def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, num: int = 90, den: int = 100, cells: str = "groups", scratch: Scratch | None = None) -> DataFrame:
-    """One row for each row of ``docs``: its id, ``n_shingles`` and ``component_id``, the smallest id reachable by links.
-
-    Two documents link when ``den * |A & B| >= num * |A | B|`` of their sets of ``width``-word shingles (see shingles.py:
-    A-Z in lower case; a text with fewer words is one shingle). Documents with a null, empty or blank text have size 0 and
-    are their own component. Equal sets are one class from the start. Rows that repeat an id share its component; a null id
-    takes part and comes back as null. Other columns are ignored. Sets are compared by 64-bit hashes of their shingles, and a
-    set is named by 64 bits, so with N different sets a false merge is to be expected N^2 / 2^65 times.
-    """
+def _classes(docs: DataFrame, width: int, num: int, den: int, cells: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """``docs(id, text)`` -> a row for each of them (id, n, sig, text_hash) and the components (node, component) of the sigs."""
     spark = docs.sparkSession
-    scratch = scratch or Scratch(spark)
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     if cells not in ("groups", "prefix"):
         raise ValueError(f"cells must be groups or prefix, not {cells}")
     levels = spark.sparkContext.broadcast(shingle_levels(docs, "text", width)) if cells == "prefix" else None
-    rows = scratch.save(docs.mapInArrow(_features(width, num, den, levels), "id long, n long, sig long, keys array<long>, point binary"))
-
-    shared = rows.filter("keys is not null").select(F.explode("keys").alias("cell"), "sig")
-    shared = shared.selectExpr("cell", "sig", "min(sig) over (partition by cell) as first", "max(sig) over (partition by cell) as last")
-    shared = scratch.save(shared.filter("first <> last").select("cell", "sig", "first").distinct())
-
+    rows = docs.select("id", "text", F.xxhash64("text").alias("text_hash"))
+    rows = scratch.save(rows.mapInArrow(_features(width, num, den, levels), "id long, text_hash long, n long, sig long, keys array<long>, point binary"))
+
+    # Sizes of sets that link are in one class or in neighbouring ones. A cell counts if two different sets of it may be: with
+    # as many rows as classes, two of these must be neighbours. A hot cell is one row of each task here, and then a skewed
+    # join that Spark splits.
+    near = f"ln({max(1.25, 1.001 * den / num)})"
+    sized = rows.filter("keys is not null").selectExpr("sig", "keys", f"shiftleft(1L, cast(least(63, floor(ln(n) / {near})) as int)) as bit")
+    ends = sized.select(F.explode("keys").alias("cell"), "sig", "bit").groupBy("cell").agg(F.min("sig").alias("first"), F.max("sig").alias("last"), F.bit_or("bit").alias("bits"), F.count(F.lit(1)).alias("rows"))
+    ends = ends.filter("first <> last and (rows > bit_count(bits) or bits & shiftleft(bits, 1) <> 0)")
+    # the classes whose members stay: those with a neighbour, or all that there are
+    live = "case when rows > bit_count(bits) then bits else bits & (shiftleft(bits, 1) | shiftrightunsigned(bits, 1)) end"
+    ends = scratch.save(ends.selectExpr("cell", "first", f"{live} as live"))
+    classes = ends.select(F.expr("explode(filter(sequence(0, 63), c -> live & shiftleft(1L, c) <> 0))").alias("c"), "cell")
+    table = spark.sparkContext.broadcast(bitmap(classes.select(F.expr("cell ^ shiftleft(cast(c as long), 58)").alias("h"))))
+    kept = sized.mapInArrow(_kept_cells(table), "cell long, sig long, bit long").join(ends, "cell").filter("live & bit <> 0")
+    shared = scratch.save(kept.select("cell", "sig", "first").distinct())
     points = rows.filter("point is not null").select("sig", "point").join(shared.select("sig").distinct(), "sig", "left_semi")
-    points = scratch.save(points.dropDuplicates(["sig"]))
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        """Bounded by the points first; only the sets of pairs that pass are read from the texts again."""
-        p, q = points.select(F.col("sig").alias("u"), F.col("point").alias("p")), points.select(F.col("sig").alias("v"), F.col("point").alias("q"))
-        may = scratch.save(pairs.join(p, "u").join(q, "v").select("u", "v", "p", "q").mapInArrow(_bound(num, den), "u long, v long"))
-        sigs = may.select(F.explode(F.array("u", "v")).alias("sig")).distinct()
-        ids = rows.filter("n > 0").join(sigs, "sig", "left_semi").groupBy("sig").agg(F.min("id").alias("id"))
-        wanted = spark.sparkContext.broadcast(bitmap(ids.select(F.xxhash64("id").alias("h"))))
+    points = scratch.save(points.groupBy("sig").agg(F.first("point").alias("point")))
+    weights = points.select("sig", F.length("point").alias("bytes"))
+
+    def linked(asks: DataFrame, members: DataFrame) -> DataFrame:
+        """A link at most for each of ``asks(u, g)``, with one of the ``members(g, sig)``. Only these sets are read again."""
+        sigs = scratch.save(asks.select(F.col("u").alias("sig")).union(members.select("sig")).distinct())
+        ids = rows.filter("n > 0").join(sigs, "sig", "left_semi").groupBy("sig").agg(F.min(F.xxhash64("id", "text_hash")).alias("h"))
+        wanted = spark.sparkContext.broadcast(bitmap(ids.select("h")))
         names = spark.sparkContext.broadcast(bitmap(sigs.select(F.col("sig").alias("h"))))
-        sets = scratch.save(docs.select(F.xxhash64("id").alias("h"), "text").mapInArrow(_sets(width, wanted, names), "sig long, shingles binary"))
-        a, b = sets.select(F.col("sig").alias("u"), F.col("shingles").alias("a")), sets.select(F.col("sig").alias("v"), F.col("shingles").alias("b"))
-        out = scratch.save(may.join(a, "u").join(b, "v").select("u", "v", "a", "b").mapInArrow(_verify(num, den), "u long, v long").distinct())
-        scratch.drop(may, sets)
-        return out
+        again = docs.select(F.xxhash64("id", F.xxhash64("text")).alias("h"), "text")
+        sets = scratch.save(again.mapInArrow(_sets(width, wanted, names), "sig long, shingles binary"))
+        salts = asks.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / ASKS).cast("int").alias("salts"))
+        blocks = members.join(weights, "sig").groupBy("g").agg(F.ceil(F.sum("bytes") * FULL / ROOM).cast("int").alias("blocks"))
+        sized = salts.join(blocks, "g")
+        index = members.join(sized, "g").selectExpr("g", "cast(pmod(xxhash64(sig), blocks) as int) as block", "explode(sequence(0, salts - 1)) as salt", "false as asks", "sig")
+        asking = asks.join(sized, "g").selectExpr("g", "explode(sequence(0, blocks - 1)) as block", "cast(pmod(xxhash64(u), salts) as int) as salt", "true as asks", "u as sig")
+        both = index.unionByName(asking).join(sets, "sig").select("g", "block", "salt", "asks", "sig", "shingles")
+        both = both.repartition("g", "block", "salt").sortWithinPartitions("g", "block", "salt", "asks")
+        found = scratch.save(both.mapInArrow(_answer(num, den), "u long, v long"))
+        scratch.drop(sigs)
+        return found
 
     votes = shared.filter("sig <> first").groupBy("sig", "first").agg(F.count(F.lit(1)).alias("k"))
-    star = votes.groupBy("sig").agg(F.max_by("first", F.struct("k", "first")).alias("v")).select(F.col("sig").alias("u"), "v")
-    links = linked(star)
+    star = votes.groupBy("sig").agg(F.max_by("first", F.struct("k", "first")).alias("g"))
+    star = star.join(points, "sig").join(points.select(F.col("sig").alias("g"), F.col("point").alias("of_g")), "g")
+    star = scratch.save(star.select(F.col("sig").alias("u"), "g", "point", "of_g").mapInArrow(_bound(num, den), "u long, g long"))
+    links = linked(star, star.select("g").distinct().select("g", F.col("g").alias("sig")))
     comps = connected_components(links, scratch)
-
-    for few in (FEW, None):
-        known = comps.select(F.col("node").alias("sig"), "component")
-        named = shared.join(known, "sig", "left").select("cell", "sig", F.coalesce("component", "sig").alias("comp"))
-        named = named.selectExpr("cell", "sig", "comp", "min_by(comp, sig) over (partition by cell) as own", "min(comp) over (partition by cell) as lo", "max(comp) over (partition by cell) as hi", "count(*) over (partition by cell) as members")
-        open_ = scratch.save(named.filter("lo <> hi").selectExpr("cell", "sig", "comp", "own", f"cast(ceil(members / {BLOCK}) as int) as blocks"))
+    for wide in (False, True):
+        sized = comps.join(comps.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component")
+        known = weights.join(sized.select(F.col("node").alias("sig"), "component", "size"), "sig", "left")
+        known = scratch.save(known.select("sig", "bytes", F.coalesce("component", "sig").alias("comp"), F.coalesce("size", F.lit(1)).alias("size")))
+        named = scratch.save(shared.join(known, "sig").select("cell", "sig", "bytes", "comp", "size"))
+        of_cell = named.groupBy("cell").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("size", "comp")).alias("top"), F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+        of_cell = of_cell.filter("lo <> hi").selectExpr("cell", "top.size as top_size", "top.comp as top_comp", "blocks")
+        open_ = scratch.save(named.join(of_cell, "cell").selectExpr("cell", "sig", "comp", "size", "cast(pmod(xxhash64(sig), blocks) as int) as block", "blocks", "size = top_size and comp = top_comp as top"))
         if open_.isEmpty():
+            scratch.drop(known, named, open_)
             break
-        index = open_.selectExpr("cell", "cast(pmod(xxhash64(sig), blocks) as int) as block", "false as asks", "sig", "comp")
-        asks = open_.filter("comp <> own").selectExpr("cell", "explode(sequence(0, blocks - 1)) as block", "true as asks", "sig", "comp")
-        both = index.unionByName(asks).join(points.select("sig", "point"), "sig").select("cell", "block", "asks", "sig", "comp", "point")
-        both = both.repartition("cell", "block").sortWithinPartitions("cell", "block", "asks")
-        pairs = both.mapInArrow(_search(num, den, few), "u long, v long")
-        pairs = scratch.save(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-        more = linked(pairs)
+        own = open_.selectExpr("cell", "block", "false as guest", "sig", "comp", "size")
+        guests = open_.filter("blocks > 1 and not top").selectExpr("cell", "block as home", "explode(sequence(0, blocks - 1)) as block", "true as guest", "sig", "comp", "size").filter("block <> home").drop("home")
+        both = own.unionByName(guests).join(points, "sig").select("cell", "block", "guest", "sig", "comp", "size", "point")
+        both = both.repartition("cell", "block").sortWithinPartitions("cell", "block", "guest")
+        asks = both.mapInArrow(_near(num, den, wide), "u long, g long, apart long")
+        if wide:
+            asks = scratch.save(asks.select("u", "g").distinct())
+            members = known.select(F.col("comp").alias("g"), "sig").join(asks.select("g").distinct(), "g", "left_semi")
+        else:
+            asks = asks.groupBy("u", "g").agg(F.min("apart").alias("apart"))
+            asks = asks.selectExpr("u", "g", "row_number() over (partition by u order by apart, g) as nth").filter(f"nth <= {FEW}")
+            asks = scratch.save(asks.select("u", "g"))
+            members = asks.select("g").distinct().select("g", F.col("g").alias("sig"))
+        more = linked(asks, members)
         if not more.isEmpty():
             links = links.unionByName(more)
             comps = connected_components(links, scratch)
-        scratch.drop(pairs, open_)
-    scratch.drop(points, shared)
+        scratch.drop(known, named, open_, asks)
+    scratch.drop(points, shared, ends, star)
+    return rows.select("id", "text_hash", "n", "sig"), comps
+
 
+def _named(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int, cells: str, scratch: Scratch) -> DataFrame:
+    """(id, text_hash, n, class): rows of one class are linked; the class of a row without words is null."""
+    rows, comps = _classes(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), width, num, den, cells, scratch)
     known = comps.select(F.col("node").alias("sig"), "component")
-    named = rows.select("id", "n", "sig").join(known, "sig", "left").withColumn("class", F.coalesce("component", "sig"))
+    return rows.join(known, "sig", "left").select("id", "text_hash", "n", F.coalesce("component", "sig").alias("class"))
+
+
+def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, num: int = 90, den: int = 100, cells: str = "groups", scratch: Scratch | None = None) -> DataFrame:
+    """One row for each row of ``docs``: its id, ``n_shingles`` and ``component_id``, the smallest id reachable by links.
+
+    Two documents link when ``den * |A & B| >= num * |A | B|`` of their sets of ``width``-word shingles (see shingles.py:
+    A-Z in lower case; a text with fewer words is one shingle). Documents with a null, empty or blank text have size 0 and
+    are their own component. Equal sets are one class from the start, in any number. Rows that repeat an id are documents of
+    their own, each in the component of its text; a null id takes part and has the smallest id that is not null, or null.
+    Texts of any length are taken whole; an empty table gives an empty one. Other columns are ignored, whatever their names.
+    Sets are compared by 64-bit hashes of their shingles, and a set is named by 64 bits, so with N different sets a false
+    merge is to be expected N^2 / 2^65 times.
+    """
+    named = _named(docs, id_col, text_col, width, num, den, cells, scratch or Scratch(docs.sparkSession))
     least = named.filter("class is not null").groupBy("class").agg(F.min("id").alias("least"))
     out = named.join(least, "class", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"))
+
+
+def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, num: int = 80, den: int = 100, cells: str = "prefix", scratch: Scratch | None = None) -> DataFrame:
+    """The rows of ``docs``, one of each component of linked documents: that with the smallest id, a null id last, and of rows
+    with that id the text with the smallest hash.
+
+    Rows that repeat an id and a text are copies; rows that repeat only an id are documents of their own. A text without words
+    (null, empty or blank) is never a copy. Texts are taken whole; an empty table gives an empty one; other columns stay as
+    they are, whatever their names.
+    """
+    scratch = scratch or Scratch(docs.sparkSession)
+    rows = scratch.save(_named(docs, id_col, text_col, width, num, den, cells, scratch).filter("class is not null"))
+    first = rows.groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("no"), F.col("id"), F.col("text_hash"))).alias("f"))
+    first = first.selectExpr("class", "f.id as first_id", "f.text_hash as first_hash")
+    marked = rows.join(first, "class").selectExpr("id", "text_hash", "id <=> first_id and text_hash = first_hash as stays")
+    marked = marked.groupBy("id", "text_hash", "stays").agg(F.count(F.lit(1)).alias("copies"))
+    # rows that stay as they are need no mark
+    marked = scratch.save(marked.filter("not stays or copies > 1").selectExpr("id as __id", "text_hash as __hash", "stays as __stays"))
+    on = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash"))
+    hashed = docs.withColumn("__text_hash", F.xxhash64(text_col))
+    out = hashed.join(marked, on, "left_anti").select(*docs.columns)
+    twice = marked.filter("__stays")
+    if twice.isEmpty():
+        return out
+    return out.unionByName(hashed.join(twice, on, "left_semi").dropDuplicates([id_col, text_col]).select(*docs.columns))

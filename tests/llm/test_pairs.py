@@ -167,3 +167,60 @@ def test_points_bound_the_overlap_at_every_size():
         assert np.minimum(folded[0], folded[1]).sum() >= len(np.intersect1d(a, near))
         assert jaccard.may_link(points[0], points[1], 80, 100) or n < 20
         assert not jaccard.may_link(points[0], points[2], 80, 100)
+
+
+def test_copies_go_by_id_and_text(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(30)) for k in "abc")
+    rows = [(3, a), (5, a), (5, b), (None, a + " more"), (None, c), (7, c), (7, c), (8, ""), (8, None), (9, c + " x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as id", "2 as sig", "3 as class", "4 as n", "5 as __stays")
+    got = jaccard.drop_similar(df)
+    assert got.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(3, a), (5, b), (7, c), (8, ""), (8, None)], key=str)
+    assert jaccard.drop_similar(df.filter("false")).collect() == []
+
+
+def test_groups_without_a_centre(spark, monkeypatch):
+    """Near copies of which few are near enough to any one of them: several components, blocks and guests in each cell."""
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    monkeypatch.setattr(jaccard, "ROOM", 2048)
+    monkeypatch.setattr(jaccard, "ASKS", 8)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(90)]
+    texts = []
+    for i in range(150):
+        own = base[:]
+        for at in rng.sample(range(90), rng.choice([1, 2, 3, 4])):
+            own[at] = f"x{i}y{at}"
+        texts.append(" ".join(own))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.similar_sets(df, width=5, num=80, den=100, cells="prefix").collect()}
+    least = brute(texts, 5, 80, 100)[1]
+    assert [got[i] for i in range(len(texts))] == least
+    assert 3 < len(set(least)) < 120
+
+
+def test_repeated_ids_with_unlike_vectors(spark):
+    """Links and components go by vectors, whatever ids they have."""
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((40, 16))
+    rows = []
+    for k in range(400):
+        i = int(rng.integers(0, 40))
+        v = base[i] + rng.standard_normal(16) * float(rng.choice([0.0, 0.02, 0.1]))
+        rows.append((int(rng.integers(0, 60)) if k % 9 else None, v.tolist(), int(i % 3)))
+    rows += [(1, [1.0, 0.0], 7), (1, [1.0, 0.01], 7), (1, [0.0, 1.0], 7), (2, [1.0, 0.02], 7), (3, [0.01, 1.0], 7), (4, [1.0, 0.0], 7)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    linked = [[False] * len(rows) for _ in rows]
+    unit = [np.array(v) / np.linalg.norm(v) for _, v, _ in rows]
+    for a in range(len(rows)):
+        for b in range(a):
+            if rows[a][2] == rows[b][2] and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= 0.98:
+                linked[a][b] = linked[b][a] = True
+    root = roots(len(rows), [(a, b) for a in range(len(rows)) for b in range(a) if linked[a][b]])
+    want = []
+    for a in range(len(rows)):
+        ids = [rows[b][0] for b in range(len(rows)) if root[b] == root[a] and rows[b][0] is not None]
+        least = min(ids, default=None)
+        want.append((rows[a][0], sum(linked[a]), least, rows[a][0] == least))
+    got = [(r.vec_id, r.n_links, r.component_id, r.kept) for r in neardup.near_duplicates(df).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
