@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pointloom.llm.bpe import encode_texts
-from pointloom.llm.jaccard import similar_sets
+from pointloom.llm.jaccard import drop_similar
 from pointloom.llm.mixing import repeat_rows
 from pointloom.llm.pii import mask_pii
 from pointloom.llm.quality import keep_good
@@ -27,19 +27,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by likeness, the one with the smallest id; a text without words is no copy.
+    """Of each group of documents linked by likeness one, with the smallest id; a text without words is no copy.
 
-    Rows that repeat an id and a text are copies of each other too.
+    Rows that repeat an id and a text are copies of each other; rows that repeat only an id are not.
     """
-    scratch = Scratch(spark)
-    found = scratch.save(similar_sets(docs, width=WORDS, num=PERCENT, den=100, cells="prefix", scratch=scratch))
-    copies = found.filter("not (component_id <=> doc_id)").select("doc_id").distinct()
-    again = found.filter("n_shingles > 0").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    out = docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
-    if again.isEmpty():
-        return out
-    once = out.join(again, "doc_id", "left_anti").select(*docs.columns)
-    return once.unionByName(out.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
+    return drop_similar(docs, width=WORDS, num=PERCENT, den=100)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
