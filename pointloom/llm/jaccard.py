@@ -17,6 +17,9 @@ two documents that link are sure to share one. There are two kinds; both are exa
   by how often a shingle occurs in all documents (counted in a table of fixed size), the rare ones first. Fewer rows, and
   selective only if a single shingle is; best for long shingles and lower thresholds.
 
+Where n - i shingles of a set stand from place i on, no larger overlap can begin there; so in a small cell, members that by
+sizes and places have no partner in it are left out before any point is sent, and cells of the same members are one.
+
 Only components are asked for, so members of a cell are first compared with one of them (linear in the cell, however many
 near copies it holds). Cells whose members then are in more than one component get an R-tree over the points of each block of
 members (bounded in members and in bytes). Twice: the first time each member asks for the FEW points nearest to its own, over
@@ -47,6 +50,8 @@ ROOM = 1 << 20
 ASKS = 4096
 FEW = 3
 SKETCH_BITS = 20
+#: Cells of so many rows are looked through member by member before points are sent to them.
+SMALL = 64
 
 
 def count_vector(shingles: np.ndarray) -> np.ndarray:
@@ -204,7 +209,13 @@ def prefix_cells(shingles: np.ndarray, num: int, den: int, level: np.ndarray) ->
     k = prefix_size(len(shingles), num, den)
     bits = len(level).bit_length() - 1
     order = level[(shingles >> np.uint64(64 - bits)).astype(np.int64)] | mix(shingles, 3) >> np.uint64(6)
-    return np.partition(order, k - 1)[:k] if k < len(order) else order
+    return np.sort(np.partition(order, k - 1)[:k] if k < len(order) else order)
+
+
+def reach(n: np.ndarray, at: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The largest set that can link with a set of n whose first common shingle, in the fixed order, stands at position ``at``:
+    no more than the n - at shingles from there on are common."""
+    return (n - at) * (num + den) // num - n
 
 
 def _features(width: int, num: int, den: int, levels):
@@ -250,19 +261,24 @@ def may_hold(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
-def _kept_cells(table):
-    """(cell, sig, bit) for each cell that the table may hold with this class of sizes in the cell's highest bits."""
+def _kept_cells(table, num: int, den: int, ordered: bool):
+    """(cell, sig, bit, n, reach) for each cell that the table may hold with this class of sizes in the cell's highest bits;
+    ``ordered`` cells stand in the order of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             lists = batch.column(1)
             keys = lists.flatten().to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
-            sigs, bits = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
+            lengths = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            row = np.repeat(np.arange(len(lists)), lengths)
+            at = np.arange(len(keys)) - np.repeat(np.cumsum(lengths) - lengths, lengths) if ordered else np.zeros(len(keys), np.int64)
+            sigs, bits, sizes = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2, 3))
             size = np.log2(bits.view(np.uint64).astype(np.float64)).astype(np.int64) << 58
             keep = may_hold(table.value, keys ^ size[row])
-            row = row[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(sigs[row]), pa.array(bits[row])], ["cell", "sig", "bit"])
+            row, at = row[keep], at[keep]
+            n = sizes[row]
+            cols = [keys[keep], sigs[row], bits[row], n, reach(n, at, num, den)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["cell", "sig", "bit", "n", "reach"])
 
     return run
 
@@ -416,16 +432,23 @@ def _classes(docs: DataFrame, width: int, num: int, den: int, cells: str, scratc
     # as many rows as classes, two of these must be neighbours. A hot cell is one row of each task here, and then a skewed
     # join that Spark splits.
     near = f"ln({max(1.25, 1.001 * den / num)})"
-    sized = rows.filter("keys is not null").selectExpr("sig", "keys", f"shiftleft(1L, cast(least(63, floor(ln(n) / {near})) as int)) as bit")
+    sized = rows.filter("keys is not null").selectExpr("sig", "keys", f"shiftleft(1L, cast(least(63, floor(ln(n) / {near})) as int)) as bit", "n")
     ends = sized.select(F.explode("keys").alias("cell"), "sig", "bit").groupBy("cell").agg(F.min("sig").alias("first"), F.max("sig").alias("last"), F.bit_or("bit").alias("bits"), F.count(F.lit(1)).alias("rows"))
     ends = ends.filter("first <> last and (rows > bit_count(bits) or bits & shiftleft(bits, 1) <> 0)")
     # the classes whose members stay: those with a neighbour, or all that there are
     live = "case when rows > bit_count(bits) then bits else bits & (shiftleft(bits, 1) | shiftrightunsigned(bits, 1)) end"
-    ends = scratch.save(ends.selectExpr("cell", "first", f"{live} as live"))
+    ends = scratch.save(ends.selectExpr("cell", "first", f"{live} as live", f"rows <= {SMALL} as small"))
     classes = ends.select(F.expr("explode(filter(sequence(0, 63), c -> live & shiftleft(1L, c) <> 0))").alias("c"), "cell")
     table = spark.sparkContext.broadcast(bitmap(classes.select(F.expr("cell ^ shiftleft(cast(c as long), 58)").alias("h"))))
-    kept = sized.mapInArrow(_kept_cells(table), "cell long, sig long, bit long").join(ends, "cell").filter("live & bit <> 0")
-    shared = scratch.save(kept.select("cell", "sig", "first").distinct())
+    kept = sized.mapInArrow(_kept_cells(table, num, den, cells == "prefix"), "cell long, sig long, bit long, n long, reach long")
+    kept = scratch.save(kept.join(ends, "cell").filter("live & bit <> 0").select("cell", "sig", "first", "n", "reach", "small"))
+    # Of a small cell stays who has a partner there by sizes and places; cells of the same members are one.
+    small = kept.filter("small").groupBy("cell").agg(F.collect_set(F.struct("sig", "n", "reach")).alias("m"))
+    partners = "filter(m, a -> exists(m, b -> b.sig <> a.sig and b.n <= a.reach and a.n <= b.reach))"
+    small = small.selectExpr(f"array_sort(array_distinct(transform({partners}, a -> a.sig))) as sigs").filter("size(sigs) > 1")
+    small = small.groupBy("sigs").agg(F.count(F.lit(1)).alias("k")).selectExpr("xxhash64(sigs) as cell", "explode(sigs) as sig", "sigs[0] as first", "k")
+    shared = scratch.save(kept.filter("not small").select("cell", "sig", "first").distinct().withColumn("k", F.lit(1).cast("long")).unionByName(small))
+    scratch.drop(kept)
     points = rows.filter("point is not null").select("sig", "point").join(shared.select("sig").distinct(), "sig", "left_semi")
     points = scratch.save(points.groupBy("sig").agg(F.first("point").alias("point")))
     weights = points.select("sig", F.length("point").alias("bytes"))
@@ -449,7 +472,7 @@ def _classes(docs: DataFrame, width: int, num: int, den: int, cells: str, scratc
         scratch.drop(sigs)
         return found
 
-    votes = shared.filter("sig <> first").groupBy("sig", "first").agg(F.count(F.lit(1)).alias("k"))
+    votes = shared.filter("sig <> first").groupBy("sig", "first").agg(F.sum("k").alias("k"))
     star = votes.groupBy("sig").agg(F.max_by("first", F.struct("k", "first")).alias("g"))
     star = star.join(points, "sig").join(points.select(F.col("sig").alias("g"), F.col("point").alias("of_g")), "g")
     star = scratch.save(star.select(F.col("sig").alias("u"), "g", "point", "of_g").mapInArrow(_bound(num, den), "u long, g long"))

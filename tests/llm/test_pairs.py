@@ -89,6 +89,36 @@ def test_cells_meet_for_every_link():
             assert len(np.intersect1d(classes.cells(a), classes.cells(b)))
 
 
+@pytest.mark.parametrize(("num", "den"), [(80, 100), (90, 100), (1, 2)])
+def test_first_common_shingle_is_in_reach(num, den):
+    rng = np.random.default_rng(num)
+    level = np.zeros(1 << 4, np.uint64)
+    linked = 0
+    for _ in range(1500):
+        n = int(rng.integers(1, 200))
+        common = rng.integers(0, 1 << 62, n).astype(np.uint64)
+        extra = rng.integers(0, 1 << 62, int(rng.integers(0, n * (den - num) // den + 2))).astype(np.uint64)
+        cut = int(rng.integers(0, len(extra) + 1))
+        a, b = np.unique(np.concatenate([common, extra[:cut]])), np.unique(np.concatenate([common, extra[cut:]]))
+        if den * len(np.intersect1d(a, b)) < num * len(np.union1d(a, b)):
+            continue
+        linked += 1
+        own, other = (jaccard.prefix_cells(x, num, den, level) for x in (a, b))
+        first = np.intersect1d(own, other)[0]
+        i, j = int(np.flatnonzero(own == first)[0]), int(np.flatnonzero(other == first)[0])
+        assert len(b) <= jaccard.reach(len(a), i, num, den) and len(a) <= jaccard.reach(len(b), j, num, den)
+    assert linked > 500
+
+
+@pytest.mark.parametrize(("cells", "width", "num", "den"), [("groups", 3, 90, 100), ("prefix", 5, 80, 100)])
+def test_large_cells_like_small_ones(spark, monkeypatch, cells, width, num, den):
+    monkeypatch.setattr(jaccard, "SMALL", 1)
+    texts = corpus(width * num)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard.similar_sets(df, width=width, num=num, den=den, cells=cells).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts, width, num, den)[1]
+
+
 def test_tree_finds_all_within_the_bound():
     rng = np.random.default_rng(1)
     counts = rng.poisson(4, (500, 16))
