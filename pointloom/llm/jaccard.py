@@ -262,7 +262,7 @@ def may_hold(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def _kept_cells(table, num: int, den: int, ordered: bool):
-    """(cell, sig, bit, n, reach) for each cell that the table may hold with this class of sizes in the cell's highest bits;
+    """(cell, sig, bit, n, reach) for each cell that the table may hold with this class of sizes in the highest bits;
     ``ordered`` cells stand in the order of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,7 +274,9 @@ def _kept_cells(table, num: int, den: int, ordered: bool):
             at = np.arange(len(keys)) - np.repeat(np.cumsum(lengths) - lengths, lengths) if ordered else np.zeros(len(keys), np.int64)
             sigs, bits, sizes = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2, 3))
             size = np.log2(bits.view(np.uint64).astype(np.float64)).astype(np.int64) << 58
-            keep = may_hold(table.value, keys ^ size[row])
+            # halves are swapped, for the highest bits of ordered cells are their level, much the same for all
+            swapped = (keys.view(np.uint64) << np.uint64(32) | keys.view(np.uint64) >> np.uint64(32)).view(np.int64)
+            keep = may_hold(table.value, swapped ^ size[row])
             row, at = row[keep], at[keep]
             n = sizes[row]
             cols = [keys[keep], sigs[row], bits[row], n, reach(n, at, num, den)]
@@ -439,7 +441,7 @@ def _classes(docs: DataFrame, width: int, num: int, den: int, cells: str, scratc
     live = "case when rows > bit_count(bits) then bits else bits & (shiftleft(bits, 1) | shiftrightunsigned(bits, 1)) end"
     ends = scratch.save(ends.selectExpr("cell", "first", f"{live} as live", f"rows <= {SMALL} as small"))
     classes = ends.select(F.expr("explode(filter(sequence(0, 63), c -> live & shiftleft(1L, c) <> 0))").alias("c"), "cell")
-    table = spark.sparkContext.broadcast(bitmap(classes.select(F.expr("cell ^ shiftleft(cast(c as long), 58)").alias("h"))))
+    table = spark.sparkContext.broadcast(bitmap(classes.select(F.expr("(shiftleft(cell, 32) | shiftrightunsigned(cell, 32)) ^ shiftleft(cast(c as long), 58)").alias("h"))))
     kept = sized.mapInArrow(_kept_cells(table, num, den, cells == "prefix"), "cell long, sig long, bit long, n long, reach long")
     kept = scratch.save(kept.join(ends, "cell").filter("live & bit <> 0").select("cell", "sig", "first", "n", "reach", "small"))
     # Of a small cell stays who has a partner there by sizes and places; cells of the same members are one.
@@ -469,7 +471,7 @@ def _classes(docs: DataFrame, width: int, num: int, den: int, cells: str, scratc
         both = index.unionByName(asking).join(sets, "sig").select("g", "block", "salt", "asks", "sig", "shingles")
         both = both.repartition("g", "block", "salt").sortWithinPartitions("g", "block", "salt", "asks")
         found = scratch.save(both.mapInArrow(_answer(num, den), "u long, v long"))
-        scratch.drop(sigs)
+        scratch.drop(sigs, sets)
         return found
 
     votes = shared.filter("sig <> first").groupBy("sig", "first").agg(F.sum("k").alias("k"))
