@@ -108,7 +108,7 @@ def region_box(h: Column, corners: Column, width: int, height: int, top: float,
 
 def hit_score(loud: Column, reach: Column, bias: float = -1.0, per_loud: float = 0.25, from_loud: float = 6.0, per_reach: float = 1.0) -> Column:
     """Evidence of a contact without any label: loudness and the reach of the wrist (0.6 if unseen), 6 at most either way."""
-    return clip(bias + per_loud * (loud - from_loud) + per_reach * (F.coalesce(reach, F.lit(0.6)) - 0.8), -6, 6)
+    return clip(bias + per_loud * (loud - from_loud) + per_reach * F.coalesce(reach, F.lit(0.6)) - per_reach * 0.8, -6, 6)
 
 
 def keypoint(points: Column, k: int) -> Column:
