@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import small_batches
+from .worker import held
 
 WINDOW = 4
 MASK = 31
@@ -168,15 +169,10 @@ class ChunkEncoder:
         return None
 
 
-_encoders: dict[str, ChunkEncoder] = {}
-
-
 def _encoder(path: str) -> ChunkEncoder:
-    """One encoder, with what it holds, for all tasks of a worker."""
-    if path not in _encoders:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        _encoders[path] = ChunkEncoder(path)
-    return _encoders[path]
+    """One encoder, with what it holds, for all tasks of a worker, until it has tasks of another kind."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return held(("bpe", path), lambda: ChunkEncoder(path))
 
 
 def decoder(tokenizer):

@@ -15,7 +15,9 @@ two documents that link are sure to share one. There are two kinds; both are exa
   group holds many shingles, so that hardly any but near copies meet.
 * ``prefix``: of n shingles in a fixed order, two documents that link share one of the first n - ceil(t n) + 1. The order is
   by how often a shingle occurs in all documents (counted in a table of fixed size), the rare ones first. Fewer rows, and
-  selective only if a single shingle is; best for long shingles and lower thresholds.
+  selective only if a single shingle is; best for long shingles and lower thresholds. Prefixes are longer by one shingle in
+  STEP, and two documents that link then share as many cells more, so a document that shares fewer cells than that is left
+  out: those that meet by chance have few in common.
 
 Where n - i shingles of a set stand from place i on, no larger overlap can begin there; so in a small cell, members that by
 sizes and places have no partner in it are left out before any point is sent, and cells of the same members are one.
@@ -41,6 +43,7 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .scratch import Scratch
 from .shingles import mix, pieces, shingle_sets, signature
+from .worker import let_go
 
 GROUPS = 64
 FULL = 8
@@ -52,6 +55,10 @@ FEW = 3
 SKETCH_BITS = 20
 #: Cells of so many rows are looked through member by member before points are sent to them.
 SMALL = 64
+#: A set of n shingles has n // STEP more ordered cells than one common cell takes.
+STEP = 16
+#: How often members of too few cells are left out.
+ROUNDS = 2
 
 
 def count_vector(shingles: np.ndarray) -> np.ndarray:
@@ -131,6 +138,7 @@ def _sketch(width: int, bits: int):
     """How often the hashes of all shingles fall into each of 2^bits counters, as blocks of 2^14 counters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         total = np.zeros(1 << bits, np.int64)
         for batch in pieces(batches):
             own = np.concatenate([np.empty(0, np.uint64), *shingle_sets(batch.column(0), width)])
@@ -206,12 +214,18 @@ class SizeClasses:
 
 
 def prefix_cells(shingles: np.ndarray, num: int, den: int, level: np.ndarray) -> np.ndarray:
-    k = prefix_size(len(shingles), num, den)
+    k = prefix_size(len(shingles), num, den) + len(shingles) // STEP
     bits = len(level).bit_length() - 1
     order = level[(shingles >> np.uint64(64 - bits)).astype(np.int64)] | mix(shingles, 3) >> np.uint64(6)
     return np.sort(np.partition(order, k - 1)[:k] if k < len(order) else order)
 
 
+def least_common(n: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Ordered cells that a set of n shares at least with any set that links with it: such a set is no smaller than num/den of
+    it, and of the prefixes of both, the shorter in cells more holds as many common shingles, and one."""
+    return -(-num * n // den) // STEP + 1
+
+
 def reach(n: np.ndarray, at: np.ndarray, num: int, den: int) -> np.ndarray:
     """The largest set that can link with a set of n whose first common shingle, in the fixed order, stands at position ``at``:
     no more than the n - at shingles from there on are common."""
@@ -222,6 +236,7 @@ def _features(width: int, num: int, den: int, levels):
     """(row's id, set size, signature, cells, point); a set met before in the same task has no cells again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         known, classes = set(), SizeClasses(num, den)
         level = levels.value.astype(np.uint64) << np.uint64(58) if levels else None
         for batch in pieces(batches):
@@ -274,11 +289,15 @@ def _kept_cells(table, num: int, den: int, ordered: bool):
             at = np.arange(len(keys)) - np.repeat(np.cumsum(lengths) - lengths, lengths) if ordered else np.zeros(len(keys), np.int64)
             sigs, bits, sizes = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2, 3))
             size = np.log2(bits.view(np.uint64).astype(np.float64)).astype(np.int64) << 58
+            n = sizes[row]
             # halves are swapped, for the highest bits of ordered cells are their level, much the same for all
             swapped = (keys.view(np.uint64) << np.uint64(32) | keys.view(np.uint64) >> np.uint64(32)).view(np.int64)
             keep = may_hold(table.value, swapped ^ size[row])
-            row, at = row[keep], at[keep]
-            n = sizes[row]
+            if ordered:
+                keep &= np.bincount(row[keep], minlength=len(lists))[row] >= least_common(n, num, den)
+                # any of the common cells that are counted may stand here, not the first only
+                at = np.maximum(at - n // STEP, 0)
+            row, at, n = row[keep], at[keep], n[keep]
             cols = [keys[keep], sigs[row], bits[row], n, reach(n, at, num, den)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["cell", "sig", "bit", "n", "reach"])
 
@@ -289,6 +308,7 @@ def _sets(width: int, wanted, sigs):
     """Sets of the rows whose hash of id and text and whose signature may be wanted, each signature once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         seen: set[int] = set()
         for batch in batches:
             batch = batch.filter(pa.array(may_hold(wanted.value, batch.column(0).to_numpy(zero_copy_only=False))))
@@ -447,10 +467,18 @@ def _classes(docs: DataFrame, width: int, num: int, den: int, cells: str, scratc
     # Of a small cell stays who has a partner there by sizes and places; cells of the same members are one.
     small = kept.filter("small").groupBy("cell").agg(F.collect_set(F.struct("sig", "n", "reach")).alias("m"))
     partners = "filter(m, a -> exists(m, b -> b.sig <> a.sig and b.n <= a.reach and a.n <= b.reach))"
-    small = small.selectExpr(f"array_sort(array_distinct(transform({partners}, a -> a.sig))) as sigs").filter("size(sigs) > 1")
-    small = small.groupBy("sigs").agg(F.count(F.lit(1)).alias("k")).selectExpr("xxhash64(sigs) as cell", "explode(sigs) as sig", "sigs[0] as first", "k")
-    shared = scratch.save(kept.filter("not small").select("cell", "sig", "first").distinct().withColumn("k", F.lit(1).cast("long")).unionByName(small))
+    small = small.selectExpr(f"array_sort(array_distinct(transform({partners}, a -> struct(a.sig as sig, a.n as n)))) as sigs").filter("size(sigs) > 1")
+    small = small.groupBy("sigs").agg(F.count(F.lit(1)).alias("k")).selectExpr("xxhash64(sigs.sig) as cell", "inline(sigs)", "sigs[0].sig as first", "k")
+    shared = scratch.save(kept.filter("not small").select("cell", "sig", "n", "first").distinct().withColumn("k", F.lit(1).cast("long")).unionByName(small))
     scratch.drop(kept)
+    for _ in range(ROUNDS if cells == "prefix" else 0):
+        # who is in fewer cells than a link takes goes, and then cells of one member
+        enough = shared.groupBy("sig").agg(F.sum("k").alias("k"), F.max("n").alias("n")).filter(f"k >= ({num} * n + {den - 1}) div {den} div {STEP} + 1").select("sig")
+        stay = scratch.save(shared.drop("first").join(enough, "sig", "left_semi"))
+        firsts = stay.groupBy("cell").agg(F.min("sig").alias("first"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("cell", "first")
+        fewer = scratch.save(stay.join(firsts, "cell"))
+        scratch.drop(shared, stay)
+        shared = fewer
     points = rows.filter("point is not null").select("sig", "point").join(shared.select("sig").distinct(), "sig", "left_semi")
     points = scratch.save(points.groupBy("sig").agg(F.first("point").alias("point")))
     weights = points.select("sig", F.length("point").alias("bytes"))

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from .sampling import in_sample
 from .scratch import small_batches
+from .worker import let_go
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret")
@@ -267,6 +268,7 @@ def gold_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    let_go()
     for batch in batches:
         out = [part for x in batch.column(0) if (text := x.as_py()) for a, b in regions(text) for part in _parts(text[a:b])]
         labels = [" ".join(sorted({k for _, _, k in gold_spans(part)})) for part in out]
@@ -308,6 +310,7 @@ def _joined(spans: list[tuple[int, int, str]]) -> str:
 
 def _find(weights):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         field = SemiMarkov(weights)
         for batch in batches:
             rows = [all_spans(x.as_py(), field) for x in batch.column(1)]
@@ -335,6 +338,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fi
 
 def _mask(weights, column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         field = SemiMarkov(weights)
         for batch in batches:
             at = batch.schema.get_field_index(column)

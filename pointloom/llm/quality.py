@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import in_sample
+from .worker import let_go
 
 MAX_DOCS = 20_000
 BITS = 16
@@ -152,6 +153,7 @@ def hashed(s: dict[str, float], tokens: Counter, shapes: _Shapes) -> tuple[list[
 
 def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Votes of each document as a number in base 3, counted; with a mark for sampled documents, also the features."""
+    let_go()
     shapes = _Shapes()
     for batch in batches:
         ks, sampled, idx, val = [], batch.column(1).to_pylist(), [], []
@@ -210,6 +212,7 @@ def fit_quality(docs: DataFrame, scratch, id_col: str = "doc_id", text_col: str
 
 def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         m, shapes = model.value, _Shapes()
         for batch in batches:
             out, weak = [], []
@@ -243,6 +246,7 @@ def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def _keep(model, column: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         m, shapes = model.value, _Shapes()
         for batch in batches:
             at = batch.schema.get_field_index(column)
