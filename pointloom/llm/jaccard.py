@@ -325,6 +325,17 @@ def _sets(width: int, wanted, sigs):
     return run
 
 
+def _named_in(table, wanted: bool):
+    """Rows whose last column, a hash, the table may hold, or the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(may_hold(table.value, names) == wanted, pa.bool_()))
+
+    return run
+
+
 def _bound(num: int, den: int):
     """Of pairs with both points, those whose sum of minima allows a link."""
 
@@ -583,7 +594,12 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     marked = scratch.save(marked.filter("not stays or copies > 1").selectExpr("id as __id", "text_hash as __hash", "stays as __stays"))
     on = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__text_hash") == F.col("__hash"))
     hashed = docs.withColumn("__text_hash", F.xxhash64(text_col))
-    out = hashed.join(marked, on, "left_anti").select(*docs.columns)
+    # most texts have no mark, and those that can't have one aren't shuffled
+    of = docs.sparkSession.sparkContext.broadcast(bitmap(marked.select(F.xxhash64(F.col("__id").cast("long"), "__hash").alias("h"))))
+    named = hashed.withColumn("__name", F.xxhash64(F.col(id_col).cast("long"), "__text_hash"))
+    plain = named.mapInArrow(_named_in(of, False), named.schema).select(*docs.columns)
+    hashed = named.mapInArrow(_named_in(of, True), named.schema).drop("__name")
+    out = plain.unionByName(hashed.join(marked, on, "left_anti").select(*docs.columns))
     twice = marked.filter("__stays")
     if twice.isEmpty():
         return out

@@ -45,3 +45,10 @@ def test_links_share_as_many_cells_as_are_asked_for(num, den):
         assert counted >= max(least)
         most = max(most, *least)
     assert linked > 500 and most > 10
+
+
+def test_texts_without_a_mark_are_not_shuffled(spark):
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(30))) for i in range(50)] + [(50, " ".join(f"w3x{k}" for k in range(30))), (50, None), (None, "w9 again")]
+    df = jaccard.drop_similar(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(df.collect(), key=str) == sorted((r for r in rows if r != rows[50]), key=str)
+    assert "Union" in df._jdf.queryExecution().optimizedPlan().toString()
