@@ -34,6 +34,7 @@ components that lie near them, not the pairs of members.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .scratch import Scratch
+from .scratch import Scratch, freed_shuffles
 from .shingles import mix, pieces, shingle_sets, signature
 from .worker import let_go
 
@@ -57,6 +58,8 @@ SKETCH_BITS = 20
 SMALL = 64
 #: A set of n shingles has n // STEP more ordered cells than one common cell takes.
 STEP = 16
+#: Cells are counted in so many parts, one after another, so that the shuffle of one lies on disk at a time.
+PARTS = 4
 #: How often members of too few cells are left out.
 ROUNDS = 2
 
@@ -134,6 +137,15 @@ class RTree:
         return np.minimum(q[1:], high[:, 1:]).sum(axis=1) * (num + den) >= num * (q[0] + least)
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """2^14 counters in the fewest bytes each that hold the largest."""
+    return counts.astype(np.min_scalar_type(int(counts.max()))).tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"u{len(data) >> 14}").astype(np.int64)
+
+
 def _sketch(width: int, bits: int):
     """How often the hashes of all shingles fall into each of 2^bits counters, as blocks of 2^14 counters."""
 
@@ -147,15 +159,15 @@ def _sketch(width: int, bits: int):
         if len(at):
             step = 1 << 14
             starts = np.unique(at >> 14)
-            rows = [(int(k), total[k * step : (k + 1) * step].tobytes()) for k in starts]
+            rows = [(int(k), _packed(total[k * step : (k + 1) * step])) for k in starts]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int64()), pa.array([b for _, b in rows], pa.binary())], ["part", "counts"])
 
     return run
 
 
 def _add(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x.as_py(), np.int64) for x in table.column("counts"))
-    return pa.table({"part": [key[0].as_py()], "counts": [total.tobytes()]})
+    total = sum(_unpacked(x.as_py()) for x in table.column("counts"))
+    return pa.table({"part": [key[0].as_py()], "counts": [_packed(total)]})
 
 
 def shingle_levels(docs: DataFrame, text: str, width: int, bits: int = SKETCH_BITS) -> np.ndarray:
@@ -166,7 +178,7 @@ def shingle_levels(docs: DataFrame, text: str, width: int, bits: int = SKETCH_BI
     parts = docs.select(text).mapInArrow(_sketch(width, bits), "part long, counts binary")
     total = np.zeros(1 << bits, np.float64)
     for row in parts.groupBy("part").applyInArrow(_add, "part long, counts binary").collect():
-        total[row["part"] << 14 : (row["part"] + 1) << 14] = np.frombuffer(row["counts"], np.int64)
+        total[row["part"] << 14 : (row["part"] + 1) << 14] = _unpacked(row["counts"])
     mean = max(4.0, total.mean())
     return np.maximum(0, np.floor(np.log2(np.maximum(total, 1) / mean))).astype(np.uint8)
 
@@ -466,15 +478,23 @@ def _classes(docs: DataFrame, width: int, num: int, den: int, cells: str, scratc
     # join that Spark splits.
     near = f"ln({max(1.25, 1.001 * den / num)})"
     sized = rows.filter("keys is not null").selectExpr("sig", "keys", f"shiftleft(1L, cast(least(63, floor(ln(n) / {near})) as int)) as bit", "n")
-    ends = sized.select(F.explode("keys").alias("cell"), "sig", "bit").groupBy("cell").agg(F.min("sig").alias("first"), F.max("sig").alias("last"), F.bit_or("bit").alias("bits"), F.count(F.lit(1)).alias("rows"))
-    ends = ends.filter("first <> last and (rows > bit_count(bits) or bits & shiftleft(bits, 1) <> 0)")
+    counted = sized.select(F.explode("keys").alias("cell"), "sig", "bit")
     # the classes whose members stay: those with a neighbour, or all that there are
     live = "case when rows > bit_count(bits) then bits else bits & (shiftleft(bits, 1) | shiftrightunsigned(bits, 1)) end"
-    ends = scratch.save(ends.selectExpr("cell", "first", f"{live} as live", f"rows <= {SMALL} as small"))
+    parts = []
+    for part in range(PARTS):
+        ends = counted.filter(f"pmod(cell, {PARTS}) = {part}").groupBy("cell").agg(F.min("sig").alias("first"), F.max("sig").alias("last"), F.bit_or("bit").alias("bits"), F.count(F.lit(1)).alias("rows"))
+        ends = ends.filter("first <> last and (rows > bit_count(bits) or bits & shiftleft(bits, 1) <> 0)")
+        parts.append(scratch.save(ends.selectExpr("cell", "first", f"{live} as live", f"rows <= {SMALL} as small")))
+    ends = reduce(DataFrame.unionByName, parts)
     classes = ends.select(F.expr("explode(filter(sequence(0, 63), c -> live & shiftleft(1L, c) <> 0))").alias("c"), "cell")
     table = spark.sparkContext.broadcast(bitmap(classes.select(F.expr("(shiftleft(cell, 32) | shiftrightunsigned(cell, 32)) ^ shiftleft(cast(c as long), 58)").alias("h"))))
     kept = sized.mapInArrow(_kept_cells(table, num, den, cells == "prefix"), "cell long, sig long, bit long, n long, reach long")
     kept = scratch.save(kept.join(ends, "cell").filter("live & bit <> 0").select("cell", "sig", "first", "n", "reach", "small"))
+    # the lists of cells are most of this table, and aren't read again
+    lean = scratch.save(rows.drop("keys"))
+    scratch.drop(rows, *parts)
+    rows = lean
     # Of a small cell stays who has a partner there by sizes and places; cells of the same members are one.
     small = kept.filter("small").groupBy("cell").agg(F.collect_set(F.struct("sig", "n", "reach")).alias("m"))
     partners = "filter(m, a -> exists(m, b -> b.sig <> a.sig and b.n <= a.reach and a.n <= b.reach))"
@@ -548,7 +568,7 @@ def _classes(docs: DataFrame, width: int, num: int, den: int, cells: str, scratc
             links = links.unionByName(more)
             comps = connected_components(links, scratch)
         scratch.drop(known, named, open_, asks)
-    scratch.drop(points, shared, ends, star)
+    scratch.drop(points, shared, star)
     return rows.select("id", "text_hash", "n", "sig"), comps
 
 
@@ -570,7 +590,8 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Sets are compared by 64-bit hashes of their shingles, and a set is named by 64 bits, so with N different sets a false
     merge is to be expected N^2 / 2^65 times.
     """
-    named = _named(docs, id_col, text_col, width, num, den, cells, scratch or Scratch(docs.sparkSession))
+    with freed_shuffles(docs.sparkSession):
+        named = _named(docs, id_col, text_col, width, num, den, cells, scratch or Scratch(docs.sparkSession))
     least = named.filter("class is not null").groupBy("class").agg(F.min("id").alias("least"))
     out = named.join(least, "class", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("class").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"))
@@ -585,6 +606,11 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     they are, whatever their names.
     """
     scratch = scratch or Scratch(docs.sparkSession)
+    with freed_shuffles(docs.sparkSession):
+        return _without_similar(docs, id_col, text_col, width, num, den, cells, scratch)
+
+
+def _without_similar(docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int, cells: str, scratch: Scratch) -> DataFrame:
     rows = scratch.save(_named(docs, id_col, text_col, width, num, den, cells, scratch).filter("class is not null"))
     first = rows.groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("no"), F.col("id"), F.col("text_hash"))).alias("f"))
     first = first.selectExpr("class", "f.id as first_id", "f.text_hash as first_hash")
